@@ -38,3 +38,36 @@ def dropped(df: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def range_cuts(docs: DataFrame, target_bytes: int, most: int = 1 << 20):
+    """(splitters of doc_id into ranges of about target_bytes of text, total bytes of text).
+
+    Two aggregates; only the splitters reach the driver, at most ``most`` of them.
+    """
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    n = min(most, max(1, -(-size // target_bytes)))
+    got = []
+    if n > 1:
+        got = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"]
+    return np.unique(np.array(got or [], np.int64)), size
+
+
+def into_ranges(cuts):
+    """A mapInArrow function from (doc_id, text) to (rng, doc_id, text); a null doc_id goes to range 0."""
+    import numpy as np
+    import pyarrow as pa
+
+    def f(batches):
+        for b in batches:
+            ids = b.column("doc_id")
+            k = np.searchsorted(cuts, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), ids, b.column("text")], ["rng", "doc_id", "text"])
+
+    return f
+
+
+RANGED = "rng long, doc_id long, text string"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .packing import op9_best_fit_packing
+from .rans import op6_token_files
 from .substring_dedup import op1_substring_dedup
 
 
 def queries():
-    found = [op1_substring_dedup]
+    found = [op1_substring_dedup, op6_token_files, op9_best_fit_packing]
     return {f.__name__: f for f in found}
 
 

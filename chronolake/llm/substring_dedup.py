@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _text as T
 from ..session import ship
+from . import _text as T
+from ._work import RANGED, into_ranges, range_cuts
 
 WIDTH = 13
 _BASE2 = 0xD1342543DE82EF95
@@ -117,16 +118,6 @@ def _cut(width, buckets):
     return f
 
 
-def _into_blocks(cuts):
-    def f(batches):
-        for b in batches:
-            ids = b.column("doc_id")
-            k = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), "right").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), ids, b.column("text")], ["block", "doc_id", "text"])
-
-    return f
-
-
 def substring_dedup(docs: DataFrame, width: int = WIDTH, block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and the removed word intervals of every row.
 
@@ -139,13 +130,9 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, block_bytes: int = 2 <<
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks, buckets = max(1, -(-size // block_bytes)), min(1 << 16, max(32, -(-size // bucket_bytes)))
-    cuts = np.zeros(0, np.int64)
-    if blocks > 1:
-        got = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], max(10_000, 20 * blocks)).alias("q")).first()["q"]
-        cuts = np.unique(np.array(got or [], np.int64))
-    cut = docs.mapInArrow(_into_blocks(cuts), "block long, doc_id long, text string")
+    cuts, size = range_cuts(docs, block_bytes)
+    buckets = min(1 << 16, max(32, -(-size // bucket_bytes)))
+    cut = docs.mapInArrow(into_ranges(cuts), RANGED).withColumnRenamed("rng", "block")
     sent = cut.groupBy("block").applyInArrow(_send(width, buckets), "bucket long, block long, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, bits binary")
     return cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
