@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from . import topk_bsi
+from .decontam import op5_benchmark_decontamination
+from .html_extract import op10_html_extraction
 from .packing import op9_best_fit_packing
+from .quality import op2_quality_classifier
 from .rans import op6_token_files
+from .sharding import op4_sharding
 from .substring_dedup import op1_substring_dedup
+from .topk_bsi import op3_bit_sliced_top_k
 
 
 def queries():
-    found = [op1_substring_dedup, op6_token_files, op9_best_fit_packing]
+    found = [op1_substring_dedup, op2_quality_classifier, op3_bit_sliced_top_k, op4_sharding, op5_benchmark_decontamination, op6_token_files, op9_best_fit_packing, op10_html_extraction]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {}
+    return {"op3_bit_sliced_top_k": topk_bsi.ORACLE}
