@@ -54,8 +54,11 @@ def template(col):
         if len(s):
             c = d[s]
             number = (c >= 48) & (c <= 57)
-            follow = d[np.minimum(s + 1, len(d) - 1)]
-            capital = ((c >= 65) & (c <= 90)) | ((c == 0xC3) & (follow >= 0x80) & (follow <= 0x9E))
+            ahead = [d[np.minimum(s + k, len(d) - 1)] for k in range(4)]
+            small = lambda x, y: ((x >= 97) & (x <= 122)) | ((x == 0xC3) & (y >= 0x9F))
+            plain = (c >= 65) & (c <= 90) & small(ahead[1], ahead[2])
+            accented = (c == 0xC3) & (ahead[1] >= 0x80) & (ahead[1] <= 0x9E) & small(ahead[2], ahead[3])
+            capital = plain | accented  # a word all in capitals is no name
             one, two = d[np.maximum(s - 1, 0)], d[np.maximum(s - 2, 0)]
             stop = np.isin(two, np.frombuffer(b".!?:;\n", np.uint8)) | np.isin(one, np.frombuffer(b"\n\"'(.!?", np.uint8))
             stop |= np.isin(s, o) | np.isin(s - 1, o)
