@@ -6,6 +6,7 @@ from . import topk_bsi
 from .decontam import op5_benchmark_decontamination
 from .html_extract import op10_html_extraction
 from .jaccard import op8_ngram_jaccard_join
+from .line_dedup import op7_fuzzy_line_dedup
 from .packing import op9_best_fit_packing
 from .quality import op2_quality_classifier
 from .rans import op6_token_files
@@ -15,7 +16,7 @@ from .topk_bsi import op3_bit_sliced_top_k
 
 
 def queries():
-    found = [op1_substring_dedup, op2_quality_classifier, op3_bit_sliced_top_k, op4_sharding, op5_benchmark_decontamination, op6_token_files, op8_ngram_jaccard_join, op9_best_fit_packing, op10_html_extraction]
+    found = [op1_substring_dedup, op2_quality_classifier, op3_bit_sliced_top_k, op4_sharding, op5_benchmark_decontamination, op6_token_files, op7_fuzzy_line_dedup, op8_ngram_jaccard_join, op9_best_fit_packing, op10_html_extraction]
     return {f.__name__: f for f in found}
 
 
