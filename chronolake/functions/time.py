@@ -1,4 +1,4 @@
-"""Time functions. ``now`` is always given; timestamps are epoch milliseconds or timestamps in UTC."""
+"""Time functions. ``now`` is always given; timestamps carry no time zone."""
 
 from __future__ import annotations
 
@@ -8,8 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def at(x: datetime) -> Column:
+    """A literal without time zone."""
+    return F.to_timestamp_ntz(F.lit(x.isoformat(sep=" ", timespec="microseconds")))
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch of a timestamp without time zone."""
+    return F.timestamp_diff("MICROSECOND", at(datetime(1970, 1, 1)), ts)
+
+
 def millis(ts: Column) -> Column:
-    return F.unix_millis(ts)
+    return F.floor(micros(ts) / 1000).cast("long")
 
 
 def day_bucket(ts: Column) -> Column:
@@ -28,7 +38,7 @@ def daypart(ts: Column) -> Column:
 
 
 def age_hours(ts: Column, now: datetime) -> Column:
-    return F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(ts)) / 3.6e9)
+    return F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", ts, at(now)) / 3.6e9)
 
 
 def recency(hours: Column) -> Column:
@@ -48,7 +58,6 @@ def ebbinghaus(decay: Column, days: Column, half_life_days: float = 21.0, floor:
 def relative_filter(ts: Column, name: str | None, now: datetime) -> Column:
     """Named time filter: 1h, 24h, 7d (or week) are rolling, today and yesterday calendar days; other names filter nothing."""
     spans = {"1h": timedelta(hours=1), "24h": timedelta(hours=24), "7d": timedelta(days=7), "week": timedelta(days=7)}
-    at = lambda x: F.lit(x).cast("timestamp")
     midnight = now.replace(hour=0, minute=0, second=0, microsecond=0)
     if name in spans:
         return ts >= at(now - spans[name])
@@ -61,16 +70,16 @@ def relative_filter(ts: Column, name: str | None, now: datetime) -> Column:
 
 def rolling_today(ts: Column, now: datetime) -> Column:
     """The planner's "today": the last 24 hours."""
-    return ts >= F.lit(now - timedelta(hours=24)).cast("timestamp")
+    return ts >= at(now - timedelta(hours=24))
 
 
 def window(ts: Column, low: datetime | None, high: datetime | None) -> Column:
     """Membership of a closed window of which either end may be open."""
     out = F.lit(True)
     if low is not None:
-        out = out & (ts >= F.lit(low).cast("timestamp"))
+        out = out & (ts >= at(low))
     if high is not None:
-        out = out & (ts <= F.lit(high).cast("timestamp"))
+        out = out & (ts <= at(high))
     return out
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from . import time_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return QUERIES["a20_clusters"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
