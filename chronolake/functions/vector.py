@@ -43,7 +43,10 @@ def l2_normalised(a: Column) -> Column:
 
 def blend(parts) -> Column:
     """Weighted sum of (vector, weight) pairs, normalised."""
-    scaled = [F.transform(v, lambda x, w=w: x.cast("double") * w) for v, w in parts]
+    def scale(v, w):
+        return F.transform(v, lambda x: x.cast("double") * w)
+
+    scaled = [scale(v, w) for v, w in parts]
     out = scaled[0]
     for s in scaled[1:]:
         out = F.zip_with(out, s, lambda x, y: x + y)

@@ -218,18 +218,18 @@ def fuse(branches: dict[str, DataFrame], rows: DataFrame, text: str, p: Profile,
     """
     kinds = ("chunk", "semantic", "snippet", "keyword")
     union = reduce(lambda a, b: a.unionByName(b), [b.select("id", F.lit(k).alias("branch"), "score") for k, b in branches.items()])
-    best = union.groupBy("id").agg(*[F.max(F.when(F.col("branch") == k, F.col("score"))).alias(k) for k in kinds])
+    best = union.groupBy("id").agg(*[F.max(F.when(F.col("branch") == k, F.col("score"))).alias(f"by_{k}") for k in kinds])
     pool = bm25(with_text(best.join(rows, "id"), F.col(text)), p)
     pool = pool.withColumn("cover", coverage(p, F.col("toks"))).withColumn("phrase", phrase_alignment(p, F.col("norm"), F.col("pairs")))
-    pool = pool.withColumn("lexical", F.col("bm25") + 0.55 * F.coalesce("keyword", F.lit(0.0)))
+    pool = pool.withColumn("lexical", F.col("bm25") + 0.55 * F.coalesce("by_keyword", F.lit(0.0)))
     for k in ("chunk", "semantic", "snippet"):
-        pool = pool.withColumn(f"_{k}", F.coalesce(k, F.lit(0.0)))
+        pool = pool.withColumn(f"_{k}", F.coalesce(f"by_{k}", F.lit(0.0)))
     semantic = any(k in branches for k in ("chunk", "semantic", "snippet"))
     w = LEXICAL_ONLY if not semantic else SHORT if p.short else FUSION
     score = F.greatest(_ranged("_semantic"), _ranged("_chunk")) * w["semantic"] + _ranged("_snippet") * w["snippet"] + _ranged("lexical") * w["lexical"] + 0.12 * F.col("cover") + 0.08 * F.col("phrase")
-    score = score * F.when(F.col("keyword").isNull() & (F.col("cover") < 0.16) & (F.col("phrase") < 0.10), 0.72).otherwise(1.0)
-    score = score + F.when((F.col("semantic").isNotNull() | F.col("chunk").isNotNull()) & F.col("keyword").isNotNull(), 0.05).otherwise(0.0)
-    score = score + F.when(F.col("chunk").isNotNull(), 0.04).otherwise(0.0)
+    score = score * F.when(F.col("by_keyword").isNull() & (F.col("cover") < 0.16) & (F.col("phrase") < 0.10), 0.72).otherwise(1.0)
+    score = score + F.when((F.col("by_semantic").isNotNull() | F.col("by_chunk").isNotNull()) & F.col("by_keyword").isNotNull(), 0.05).otherwise(0.0)
+    score = score + F.when(F.col("by_chunk").isNotNull(), 0.04).otherwise(0.0)
     if p.intent == "definition":
         score = score + F.when(mentions(p, F.col("toks")), 0.04).otherwise(0.0)
     out = pool.withColumn("score", score).drop("_chunk", "_semantic", "_snippet")

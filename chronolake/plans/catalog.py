@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import time_queries  # noqa: F401
+from . import row_queries, search_queries, time_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["a20_clusters"](spark, sf_dir)
+    """Hybrid search over documents and embeddings."""
+    return search_queries.search(spark, sf_dir)
 
 
 def queries():
