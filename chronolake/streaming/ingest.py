@@ -114,7 +114,16 @@ def flush(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str
         sink(batch if policy is None else batch.where(policy), no)
 
     w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
+    if not once:
+        return w.trigger(processingTime=every).start()
+    # processing-time timeouts ask for empty batches for ever; a run over what is there needs none
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return w.trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
 
 
 def share_chain(df: DataFrame, decision: Column, allowed: Column, text: str, scrubbed: Column) -> DataFrame:
