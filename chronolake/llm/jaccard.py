@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import _text as T
+from ._bloom import build, thinned
 from ._graph import components, forest
 from ._work import stored
 
@@ -266,7 +267,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     sizes = groups.groupBy("comp").agg(F.count("*").alias("m"))
     members = stored(groups.join(sizes, "comp").join(sets, "class").select("class", "comp", "m", "copies", F.col("one.doc_id").alias("doc_id"), F.col("one.h").alias("h")), "members")
     n = members.count()
-    texts = members.join(docs, members.doc_id.eqNullSafe(docs.doc_id) & (members.h == docs.h)).select("class", "comp", "m", "copies", "text")
+    own = thinned(docs, "h", build(members, n))  # else every text is shuffled for the few that have a partner
+    texts = members.join(own, members.doc_id.eqNullSafe(own.doc_id) & (members.h == own.h)).select("class", "comp", "m", "copies", "text")
     texts = texts.groupBy("class").agg(F.first("comp").alias("comp"), F.first("m").alias("m"), F.first("copies").alias("copies"), F.first("text").alias("text"))
     chunks = F.ceil(F.col("m") / chunk)
     small = F.col("m") <= chunk
