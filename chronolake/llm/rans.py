@@ -4,11 +4,11 @@ One frequency table, counted over every document, serves all blocks. A block
 holds whole documents of ascending doc_id: its ids are dealt over ``LANES``
 interleaved states, coded backwards row by row, with the lane states and the
 place in the words written down every ``CHECK_ROWS`` rows, so a reader may begin
-at any checkpoint. Headers carry checksums of the ids and of the coded words.
+at any checkpoint. Headers carry checksums of the ids and of the coded body.
 
 Layout of a block (little endian): magic, then a header of seven 32-bit numbers
 (version, lanes, ids, rows between checkpoints, number of words, crc32 of the ids
-as 32-bit numbers, crc32 of the words); one (word place u32, states u64 x lanes)
+as 32-bit numbers, crc32 of all that follows the header); one (word place u32, states u64 x lanes)
 for each checkpoint, the first being the start; the words as u32.
 """
 
@@ -79,20 +79,21 @@ class Coder:
                 marks.append((written, x.copy()))
         words = np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32)
         raw = words.astype("<u4").tobytes()
-        head = _HEAD.pack(MAGIC, VERSION, lanes, n, CHECK_ROWS, len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(raw))
-        return head + b"".join(struct.pack("<I", len(words) - at) + s.astype("<u8").tobytes() for at, s in reversed(marks)) + raw
+        body = b"".join(struct.pack("<I", len(words) - at) + s.astype("<u8").tobytes() for at, s in reversed(marks)) + raw
+        return _HEAD.pack(MAGIC, VERSION, lanes, n, CHECK_ROWS, len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
     def decode(self, block: bytes, part: int | None = None) -> np.ndarray:
         """All ids of a block, checked; or those from checkpoint ``part`` to the next."""
-        magic, version, lanes, n, every, n_words, ids_crc, words_crc = _HEAD.unpack_from(block)
+        magic, version, lanes, n, every, n_words, ids_crc, body_crc = _HEAD.unpack_from(block)
         if magic != MAGIC or version != VERSION:
             raise ValueError("this is no block of token ids")
         rows = -(-n // lanes)
         parts = -(-rows // every)
         one = 4 + 8 * lanes
-        raw = memoryview(block)[_HEAD.size + parts * one :]
-        if len(raw) != 4 * n_words or zlib.crc32(raw) != words_crc:
-            raise ValueError("the block's words fail their checksum")
+        body = memoryview(block)[_HEAD.size :]
+        raw = body[parts * one :]
+        if len(raw) != 4 * n_words or zlib.crc32(body) != body_crc:
+            raise ValueError("the block's checkpoints and words fail their checksum")
         words = np.frombuffer(raw, "<u4")
         first, last = (0, rows) if part is None else (part * every, min(rows, (part + 1) * every))
         if rows == 0:

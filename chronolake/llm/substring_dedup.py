@@ -30,10 +30,13 @@ WIDTH = 13
 _BASE2 = 0xD1342543DE82EF95
 
 
-def _hashes(col, width, buckets):
-    h, first = T.word_hashes(col, T.SPACES)
+def _hashes(table, width, buckets):
+    """First words of the texts, and place, hash and bucket of every window of a row that has a doc_id."""
+    h, first = T.word_hashes(table.column("text"), T.SPACES)
     w, fits = T.windows(h, first, width)
     b, _ = T.windows(h, first, width, _BASE2)
+    null = table.column("doc_id").is_null().to_numpy()
+    fits &= ~np.repeat(null, np.diff(first))
     at = np.flatnonzero(fits)
     return first, at, w[at], (b[at] % np.uint64(buckets)).astype(np.int64)
 
@@ -50,7 +53,7 @@ def _distinct(w, b):
 def _send(width, buckets):
     def f(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        _, _, w, b = _hashes(table.column("text"), width, buckets)
+        _, _, w, b = _hashes(table, width, buckets)
         _, ws, bs, new = _distinct(w, b)
         ws, bs = ws[new], bs[new]
         cut = np.searchsorted(bs, np.arange(buckets + 1))
@@ -79,8 +82,7 @@ def _cut(width, buckets):
     def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
         ids = docs.column("doc_id").combine_chunks()
         doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        first, at, w, b = _hashes(docs.column("text"), width, buckets)
+        first, at, w, b = _hashes(docs, width, buckets)
         owner = np.repeat(np.arange(len(doc)), np.diff(first))
         hit = np.zeros(len(at), bool)
         if len(at) and answers.num_rows:
@@ -94,7 +96,6 @@ def _cut(width, buckets):
             d = doc[owner[at[order]]]
             least = np.minimum.reduceat(d, np.flatnonzero(new))
             hit[order] = seen[group] | (least[group] < d)
-            hit &= ~null[owner[at]]
         edge = np.zeros(len(owner) + 1, np.int32)
         np.add.at(edge, at[hit], 1)
         np.add.at(edge, at[hit] + width, -1)
