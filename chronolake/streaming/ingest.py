@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..session import ship
+
 
 def _times(pdfs: Iterator[pd.DataFrame], time: str):
     rows = pd.concat(list(pdfs), ignore_index=True)
@@ -27,6 +29,7 @@ def dedup(df: DataFrame, key: str, time: str, seconds: int, refresh: bool) -> Da
     pass do, so a key that keeps coming passes once in ``seconds`` (tumbling from the
     first). State for a key is one time and ends when it can no longer matter.
     """
+    ship(df.sparkSession)
     span = seconds * 1_000_000
 
     def f(k, pdfs, state):
@@ -52,6 +55,7 @@ def admit_novel(df: DataFrame, key: str, vector: str, time: str, ring: int = 16,
     """Rows whose novelty, 1 - max cosine with the last ``ring`` admitted of the session, reaches the threshold, which rises with each admission."""
     import numpy as np
 
+    ship(df.sparkSession)
     fields = df.schema
 
     def f(k, pdfs, state):
@@ -82,6 +86,7 @@ def admit_novel(df: DataFrame, key: str, vector: str, time: str, ring: int = 16,
 
 def switch_ring(df: DataFrame, key: str, value: str, time: str, size: int = 15, least_rows: int = 8, least_distinct: int = 6) -> DataFrame:
     """A row for each alert: the ring holds enough rows of enough different values; an alert empties it."""
+    ship(df.sparkSession)
 
     def f(k, pdfs, state):
         if state.hasTimedOut:

@@ -108,3 +108,29 @@ def test_gate_and_diversity(spark):
     kept = R.relevance_gate(pool, p)
     assert sorted(r.id for r in kept.collect()) == [1, 2, 3]
     assert [r.id for r in R.diversify(kept, 5).orderBy("place").collect()] == [1, 3]
+
+
+def test_chunks():
+    from chronolake.operators import chunking as C
+
+    assert C.chunks("", "") == [] and C.chunks("", "--\n::\n") == [("plain", "-- ::")]
+    got = C.chunks("Notes - App", "\n".join(["one plain line of words"] * 3 + [f"plain line number {i} with some more words in it" for i in range(40)] + ["$ cargo build"]))
+    assert len(got) >= 3 and got[0][1].startswith("Notes - App\none plain line") and sum("one plain line of words" in t for _, t in got) == 1
+    assert all(len(t) <= 1100 for _, t in got) and got[-1][0] == "code"
+    long = C.chunks("", " ".join(f"word{i}" for i in range(2000)))
+    assert all(len(t) <= 1800 for _, t in long) and len(long) > 5
+    assert [C.kind_of(x) for x in ("https://e.org", "a - b", "From: x", "search: y", "let x", "words only")] == ["url", "title", "email", "search", "code", "plain"]
+
+
+def test_tasks(spark):
+    from chronolake.operators import chunking as C
+
+    df = spark.createDataFrame([(1, "- Reply to Ann about it\n2) pay the rent today\ntodo\n* Reply to Ann, about it\n|write the report|")], "id long, text string")
+    assert sorted((r.title, r.type) for r in C.task_lines(df, "id", "text").collect()) == [("Reply to Ann about it", "followup"), ("pay the rent today", "reminder"), ("write the report", "todo")]
+
+
+def test_shadow_keeps_to_its_budget(spark):
+    from chronolake.operators import chunking as C
+
+    got = spark.range(1).select(C.lexical_shadow(F.array(F.lit("My Alias")), F.lit("https://e.org/some"), F.repeat(F.lit("alpha bravo charlie delta "), 50), 40)).first()[0]
+    assert got == "my alias e org some alpha bravo charlie"
