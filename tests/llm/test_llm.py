@@ -333,7 +333,8 @@ def test_close_pairs_finds_all(spark):
             for j in r.choice(64, n, replace=False):
                 x ^= 1 << int(j)
             sims.add(x - 2**64 if x >> 63 else x)
-    got = {tuple(x) for x in line_dedup.close_pairs(spark.createDataFrame([(s,) for s in sims], "sim long")).collect()}
+    members = line_dedup.close_members(spark.createDataFrame([(s,) for s in sims], "sim long"))
+    got = {tuple(x) for x in line_dedup.close_pairs(members, [], F.lit(True)).collect()}
     assert got == {(a, b) for a in sims for b in sims if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
 
 
