@@ -67,10 +67,19 @@ def auto_cluster(neighbours: DataFrame, tasks: DataFrame, least: float = 0.82) -
     return g.select("id", F.when(F.col("task").isNotNull(), "join").when(F.col("peers") >= 2, "seed").otherwise("none").alias("action"), "task", "peers")
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(id, peer, similarity): the k rows most similar (cosine) to each of a stated, small set of queries."""
-    q = F.broadcast(queries.select(F.col("id").alias("qid"), F.col("embedding").alias("q")))  # callers state the set and bound it
-    pairs = df.join(q, F.size("embedding") == F.size("q")).where("id <> qid").select(F.col("qid").alias("id"), F.col("id").alias("peer"), V.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+def nearest(df: DataFrame, queries: DataFrame, k: int, salts: int = 64, small: int = 1000) -> DataFrame:
+    """(id, peer, similarity, rank): the k rows most similar (cosine) to each row of a stated query set.
+
+    Up to ``small`` queries go to every task; more are repeated for each of ``salts``
+    parts of the rows and joined by part. Only k rows of a query leave a task.
+    """
+    q = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+    rows = df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    if queries.count() <= small:
+        met = rows.join(F.broadcast(q), F.size("embedding") == F.size("q"))
+    else:
+        met = rows.join(q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), "part").where(F.size("embedding") == F.size("q"))
+    pairs = met.where("id <> qid").select(F.col("qid").alias("id"), F.col("id").alias("peer"), V.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "peer")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

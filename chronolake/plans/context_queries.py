@@ -43,20 +43,20 @@ def _(spark, d):
     return C.linked_tasks(t, e).select("id")
 
 
-@query("j13_pruned_tasks", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 0 THEN 'dismissed' ELSE o_orderstatus END AS status FROM orders")
+@query("j13_pruned_tasks", "SELECT o_orderkey AS id, CASE WHEN c_acctbal < 0 THEN 'dismissed' ELSE o_orderstatus END AS status FROM orders JOIN customer ON c_custkey = o_custkey")
 def _(spark, d):
     t = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source"), F.col("o_orderstatus").alias("status"))
-    return C.pruned_tasks(t, table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("id"))).select("id", "status")
+    return C.pruned_tasks(t, table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"))).select("id", "status")
 
 
-_NEAR = """q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+_NEAR = """q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
 n AS (SELECT q.id, vec_id AS peer, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q WHERE vec_id <> q.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, peer) AS rank FROM n)"""
 
 
 def _nearest(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return e, C.nearest(e, e.where("id % 50 = 0").limit(1000), 10)
+    return e, C.nearest(e, e.where("id % 20 = 0"), 10)
 
 
 @query("j20_knn_join", f"WITH {_NEAR} SELECT id, peer, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")

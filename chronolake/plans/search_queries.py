@@ -209,20 +209,20 @@ def _(spark, d):
     return stats.retrieval_metrics(g, e.where("id % 3 = 0"), 6)
 
 
-_E = "e AS (SELECT DISTINCT l_orderkey % 300 AS source, 1000 + l_partkey % 300 AS target FROM lineitem WHERE l_quantity = 50)"
+_W = "0.3 + (c_nationkey % 7) / 10"
+_E = f"e AS (SELECT 1000000 + c_custkey AS source, CAST(c_nationkey AS BIGINT) AS target, {_W} AS w FROM customer UNION ALL SELECT 100000000 + o_orderkey, 1000000 + o_custkey, 0.9 FROM orders)"
 
 
 def graph(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity = 50").select((F.col("l_orderkey") % 300).alias("source"), (1000 + F.col("l_partkey") % 300).alias("target")).distinct()
-    e = e.withColumn("confidence", F.lit(0.3) + (F.col("source") % 7) / 10).withColumn("edge_type", F.lit("uses"))
-    n = e.select(F.col("source").alias("id")).union(e.select(F.col("target").alias("id"))).distinct()
+    """Orders point to customers, customers to nations: (nodes, edges) of the whole tables."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    e = c.select((1_000_000 + F.col("c_custkey")).alias("source"), F.col("c_nationkey").cast("long").alias("target"), (F.lit(0.3) + (F.col("c_nationkey") % 7) / 10).alias("confidence"))
+    e = e.union(o.select((100_000_000 + F.col("o_orderkey")).alias("source"), (1_000_000 + F.col("o_custkey")).alias("target"), F.lit(0.9).alias("confidence"))).withColumn("edge_type", F.lit("uses"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id")).union(c.select(1_000_000 + F.col("c_custkey"))).union(o.select(100_000_000 + F.col("o_orderkey")))
     return n, e
 
 
-_ADJ = f"WITH RECURSIVE {_E}, a AS (SELECT source AS a, target AS b, 0.3 + (source % 7) / 10 AS w FROM e UNION ALL SELECT target, source, 0.3 + (source % 7) / 10 FROM e)"
-
-
-@query("g02_bfs", _ADJ + ", r0 AS (SELECT 5 AS id, 0 AS hops), r1 AS (SELECT DISTINCT b AS id FROM a WHERE a = 5), r2 AS (SELECT DISTINCT b AS id FROM a JOIN r1 ON a.a = r1.id WHERE b <> 5 AND b NOT IN (SELECT id FROM r1)) SELECT id, hops FROM r0 UNION ALL SELECT id, 1 FROM r1 UNION ALL SELECT id, 2 FROM r2")
+@query("g02_bfs", "SELECT CAST(n_nationkey AS BIGINT) AS id, 0 AS hops FROM nation WHERE n_nationkey = 5 UNION ALL SELECT 1000000 + c_custkey, 1 FROM customer WHERE c_nationkey = 5 UNION ALL SELECT 100000000 + o_orderkey, 2 FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 5")
 def _(spark, d):
     n, e = graph(spark, d)
     return G.bfs(G.adjacency(n, e), n.where("id = 5"), 2).select("id", "hops")
@@ -240,16 +240,17 @@ def _(spark, d):
     return G.pagerank(n, G.adjacency(n, e)).orderBy(F.desc("r"), "id").limit(10).select("id", F.round("r", 8).alias("rank"))
 
 
-@query("g08_components", _ADJ + ", r(id, c) AS (SELECT DISTINCT a, a FROM a UNION SELECT a.b, r.c FROM r JOIN a ON a.a = r.id WHERE r.c < 1000), k AS (SELECT id, min(c) AS component FROM r GROUP BY id) SELECT id, component FROM k")
+@query("g08_components", "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) AS component FROM nation UNION ALL SELECT 1000000 + c_custkey, c_nationkey FROM customer UNION ALL SELECT 100000000 + o_orderkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey")
 def _(spark, d):
     n, e = graph(spark, d)
     return G.components(n, G.adjacency(n, e))
 
 
-@query("g09_shortest_path")
+@query("g09_shortest_path", f"SELECT 2 AS hops, round((0.9 + {_W}) / 2, 6)::DOUBLE AS mean_confidence FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 0")
 def _(spark, d):
     n, e = graph(spark, d)
-    return G.shortest_path(G.adjacency(n, e), 5, 1007).select("hops", "mean_confidence")
+    start = table(spark, d, "orders").where("o_orderkey = 0").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).first()
+    return G.shortest_path(G.adjacency(n, e), 100_000_000, start.c_nationkey).select("hops", "mean_confidence")
 
 
 @query("g07_bridges")
@@ -281,10 +282,10 @@ def _(spark, d):
     return e.select("source", "target", "edge_type", G.edge_kind(F.col("edge_type")).alias("kind"))
 
 
-@query("g13_delete_nodes", f"WITH {_E} SELECT source, target FROM e WHERE source % 10 <> 0 AND target % 10 <> 0")
+@query("g13_delete_nodes", f"WITH {_E} SELECT source, target FROM e WHERE target <> 3 AND source NOT IN (SELECT 1000000 + c_custkey FROM customer WHERE c_acctbal < 0) AND target NOT IN (SELECT 1000000 + c_custkey FROM customer WHERE c_acctbal < 0)")
 def _(spark, d):
     n, e = graph(spark, d)
-    return G.without(n, e, n.where("id % 10 = 0"))[1].select("source", "target")
+    return G.without(n, e, n.where("id = 3").union(table(spark, d, "customer").where("c_acctbal < 0").select(1_000_000 + F.col("c_custkey"))))[1].select("source", "target")
 
 
 @query("g18_anchors", "SELECT n_nationkey AS id, round(1 - 2 * (n_nationkey + 0.5) / 25, 6) AS y FROM nation")
