@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import topk_bsi
+from . import jaccard, substring_dedup, topk_bsi
 from .decontam import op5_benchmark_decontamination
 from .html_extract import op10_html_extraction
 from .jaccard import op8_ngram_jaccard_join
@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_bit_sliced_top_k": topk_bsi.ORACLE}
+    return {"op1_substring_dedup": substring_dedup.ORACLE, "op3_bit_sliced_top_k": topk_bsi.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE}

@@ -309,3 +309,17 @@ def _with_class(batches):
 
 def op8_ngram_jaccard_join(spark, sf_dir) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: For tables whose doc_ids are unique.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') WHEN len(w) > 0 THEN array_to_string(w, ' ') || '#' ELSE 'raw:' || text END AS g
+  FROM (SELECT doc_id, text, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+r(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+g AS (SELECT id, min(c) AS c FROM r GROUP BY id), k AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT doc_id, coalesce(c, doc_id) AS class_id, coalesce(k, 0) AS n_links FROM documents LEFT JOIN g ON id = doc_id LEFT JOIN k ON a = doc_id
+"""

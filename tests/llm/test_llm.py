@@ -400,3 +400,18 @@ def test_pipeline(spark, sf):
             assert kept[name] == ids
             check_packing(docs.collect(), 2048)
     assert len(C.run(spark, sf).collect()) == docs.count()
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_bit_sliced_top_k", "op8_ngram_jaccard_join"])
+def test_oracle(spark, sf, name):
+    import duckdb
+
+    from chronolake.llm import entry
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in got.description]
+    df = entry.queries()[name](spark, sf)
+    assert df.columns == columns and Counter(map(tuple, df.collect())) == Counter(got.fetchall())
