@@ -315,6 +315,63 @@ def test_lines(spark):
     assert sum(r.n_removed for r in got) == 5
 
 
+def similar_pairs(n, kind, count=150):
+    """Pairs of lines of n words, of edit similarity 0.9 or more: one letter changed, or typos in one word of seven, or one word of about a tenth of the line replaced."""
+    r = np.random.default_rng([n, len(kind)])
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda k: "".join(r.choice(letters, k))
+    out = []
+    for _ in range(count):
+        words = [word(k) for k in r.integers(3, 10, n)]
+        line = " ".join(words)
+        most = len(line) // 10
+        other = list(words)
+        hit = r.permutation(n)[: {"letter": 1, "typos": max(1, n // 7), "word": 1}[kind]]
+        for i in hit:
+            if kind == "word":
+                k = min(len(words[i]), most)
+                other[i] = word(k) + words[i][k:]
+            else:
+                at = r.integers(len(words[i]))
+                other[i] = words[i][:at] + "9" + words[i][at + 1 :]
+        out.append((line, " ".join(other)))
+    return out
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_recall_of_similar_lines(spark):
+    """Against brute-force edit similarity, at 5, 10, 20 and 40 words."""
+    pairs = {(n, kind): similar_pairs(n, kind) for n in (5, 10, 20, 40) for kind in ("letter", "typos", "word")}
+    sure = {key: [(a, b) for a, b in each if 10 * edits(a, b) <= max(len(a), len(b))] for key, each in pairs.items()}
+    rows, where = [], {}
+    for key, each in sure.items():
+        for a, b in each:
+            rows += [(2 * len(rows), a), (2 * len(rows) + 1, b)]
+            where[rows[-1][0]] = key
+    gone = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    found = Counter(where[i] for i in gone)
+    recall = {key: found[key] / len(each) for key, each in sure.items()}
+    print(recall)
+    assert all(len(each) > 100 for each in sure.values()) and min(recall.values()) >= 0.95, recall
+
+
+def test_one_measure_at_every_length(spark):
+    words = [f"steady{chr(97 + i)}{chr(99 + i)}" for i in range(20)]
+    typos = [w[:3] + "9" + w[4:] if i in (4, 9, 15) else w for i, w in enumerate(words)]
+    short = ["ab", "cd"] * 9
+    two = short + ["internationalisation", "characteristically"], short + ["q" * 20, "z" * 18]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(typos)), (3, " ".join(two[0])), (4, " ".join(two[1]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_simhash_sums(spark):
     words = ["alpha", "beta", "gamma", "beta"]
     df = spark.createDataFrame([(1, 0, " ".join(words))], "doc_id long, th long, text string")
