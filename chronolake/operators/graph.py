@@ -102,10 +102,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.withColumn("size", F.round(4 + 2 * F.log2(F.col("degree") + 1), 6)).withColumn("importance", F.round(F.least(F.lit(1.0), F.log2(F.col("degree") + 1) / 6), 6))
 
 
-def bridges(nodes: DataFrame, adj: DataFrame, label: DataFrame, most_nodes: int = 5000) -> DataFrame:
-    """Cut vertices, found inside each component of at most ``most_nodes`` nodes; larger ones are not tested (one task holds a component)."""
-    small = label.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most_nodes)
-    e = adj.join(label.withColumnRenamed("id", "a"), "a").join(small, "component").select("component", "a", "b")
+def bridges(nodes: DataFrame, adj: DataFrame, label: DataFrame, peels: int = 8) -> DataFrame:
+    """Cut vertices of components of any size.
+
+    Up to ``peels`` rounds take off the nodes with one neighbour: that neighbour is a
+    cut vertex if it has others, and no other node's answer changes. What is left of
+    each component is searched in one task, which must hold its edges.
+    """
+    e = cut(adj.where("a <> b").select("a", "b").distinct())
+    found = e.select(F.col("a").alias("id")).where("false")
+    for _ in range(peels):
+        degree = cut(e.groupBy("a").agg(F.count("*").alias("n")))
+        leaf = degree.where("n = 1").select("a")
+        if leaf.isEmpty():
+            break
+        inner = degree.where("n > 1").select(F.col("a").alias("b"))
+        found = found.union(e.join(leaf, "a").join(inner, "b").select(F.col("b").alias("id")).distinct())
+        e = cut(e.join(leaf, "a", "left_anti").join(leaf.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"))
+    e = e.join(label.withColumnRenamed("id", "a"), "a").select("component", "a", "b")
     kind = dict(adj.dtypes)["a"]
 
     def f(pdf):
@@ -143,7 +157,7 @@ def bridges(nodes: DataFrame, adj: DataFrame, label: DataFrame, most_nodes: int
                 found.add(root)
         return pd.DataFrame({"id": sorted(found)})
 
-    return e.groupBy("component").applyInPandas(f, f"id {kind}")
+    return found.union(e.groupBy("component").applyInPandas(f, f"id {kind}")).distinct()
 
 
 def communities(nodes: DataFrame) -> DataFrame:

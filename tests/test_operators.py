@@ -134,3 +134,14 @@ def test_shadow_keeps_to_its_budget(spark):
 
     got = spark.range(1).select(C.lexical_shadow(F.array(F.lit("My Alias")), F.lit("https://e.org/some"), F.repeat(F.lit("alpha bravo charlie delta "), 50), 40)).first()[0]
     assert got == "my alias e org some alpha bravo charlie"
+
+
+def test_bridges_of_a_large_component(spark):
+    ring = [(i, (i + 1) % 20) for i in range(20)]
+    leaves = [(i % 10, 100 + i) for i in range(6000)]
+    chain = [(19, 7000)] + [(7000 + i, 7001 + i) for i in range(30)]
+    adj = spark.createDataFrame(ring + leaves + chain, "a long, b long")
+    adj = adj.union(adj.select("b", "a"))
+    nodes = adj.select(F.col("a").alias("id")).distinct()
+    got = [r.id for r in G.bridges(nodes, adj, nodes.withColumn("component", F.lit(0))).collect()]
+    assert sorted(got) == [*range(10), 19, *range(7000, 7030)]
