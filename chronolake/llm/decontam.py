@@ -6,7 +6,8 @@ case. Windows of template tokens of the documents that pass a Bloom filter of th
 benchmark's windows (a fixed number of bits, whatever the benchmark's size) are
 hash-joined with them. Matches of one document and item at one shift are an
 occurrence; it counts if its slots are consistent: each value in the item's slots
-stands for one value in the document.
+stands for one value in the document. Windows mostly of slots say little as templates;
+an item's windows of that kind are hashed with their words and match exact copies only.
 """
 
 from __future__ import annotations
@@ -90,6 +91,17 @@ def _windows(t, slot, first, width):
     return at, T.mix(w[at] + salt), w2[at]
 
 
+def _exact_windows(words, first, width, slot=None):
+    """The same by word hashes, of all windows or, given slots, of those with mostly slots; their hashes differ from those of templates."""
+    w, fits = T.windows(words, first, width)
+    w2, _ = T.windows(words, first, width, _BASE2)
+    at = np.flatnonzero(fits)
+    if slot is not None:
+        c = np.concatenate([[0], np.cumsum(slot)])
+        at = at[2 * (c[at + width] - c[at]) > width]
+    return at, T.mix(w[at] + np.uint64(width + (1 << 32))), w2[at]
+
+
 def _rows(ids, at, wide, h, h2, words, slot, first, **more):
     owner = np.searchsorted(first, at, "right") - 1
     values = [words[a : a + wide][slot[a : a + wide]].view(np.int64) for a in at]
@@ -109,11 +121,12 @@ def _item_windows(width, least):
             ids, size = b.column("id"), np.diff(first)
             for w in np.unique(np.minimum(size[size >= least], width)):
                 own = size >= width if w == width else size == w
-                at, h, h2 = _windows(t, slot, first, int(w))
-                keep = own[np.searchsorted(first, at, "right") - 1]
-                at, h, h2 = at[keep], h[keep], h2[keep]
-                if len(at):
-                    yield _rows(ids, at, int(w), h, h2, words, slot, first, width=np.full(len(size), w, np.int64))
+                for exact in (False, True):
+                    at, h, h2 = _exact_windows(words, first, int(w), slot) if exact else _windows(t, slot, first, int(w))
+                    keep = own[np.searchsorted(first, at, "right") - 1]
+                    at, h, h2 = at[keep], h[keep], h2[keep]
+                    if len(at):
+                        yield _rows(ids, at, int(w), h, h2, words, slot & (not exact), first, width=np.full(len(size), w, np.int64), exact=np.full(len(size), exact))
 
     return f
 
@@ -139,13 +152,13 @@ def _doc_windows(widths, packed, bits):
         hit = lambda at: on[at >> 3] >> (at & 7).astype(np.uint8) & 1
         for b in batches:
             t, words, slot, first = template(b.column("text"))
-            for w in widths:
-                at, h, h2 = _windows(t, slot, first, w)
+            for w, exact in widths:
+                at, h, h2 = _exact_windows(words, first, w) if exact else _windows(t, slot, first, w)
                 p, q = _bloom_at(h, bits)
                 keep = np.flatnonzero(hit(p))
                 keep = keep[hit(q[keep]) == 1]
                 if len(keep):
-                    yield _rows(b.column("id"), at[keep], w, h[keep], h2[keep], words, slot, first)
+                    yield _rows(b.column("id"), at[keep], w, h[keep], h2[keep], words, slot & (not exact), first)
 
     return f
 
@@ -154,31 +167,34 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, need: in
     """doc_id, item_id, n_windows, item_windows, same_values of each pair of a document and an item found in it.
 
     A pair counts if its consistent occurrences match ``need`` of the item's windows,
-    or all if it has fewer. An item shorter than ``width`` words is one window; one of
-    under LEAST words, or with mostly slots, gives no evidence. Null texts have no
+    or all if it has fewer; or so of its template windows alone, where it has any. An
+    item shorter than ``width`` words is one window; one of under LEAST words gives no
+    evidence. Null texts have no
     words; rows with a null id take no part; rows of one id count as one document.
     """
     spark = docs.sparkSession
     ship(spark)
     row = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    bench = row(items, "item_id").mapInArrow(_item_windows(width, LEAST), _OUT + ", width long").distinct()
-    seen = bench.groupBy("width").agg(F.count("*").alias("n")).collect()  # at most ``width`` rows
+    bench = row(items, "item_id").mapInArrow(_item_windows(width, LEAST), _OUT + ", width long, exact boolean").distinct()
+    seen = bench.groupBy("width", "exact").agg(F.count("*").alias("n")).collect()  # at most two rows a width
     n = sum(r.n for r in seen)
     bits = 1 << min(27, max(20, int(64 * n).bit_length()))
     maps = bench.select("h", F.pmod(F.col("h2"), F.lit(8)).alias("part")).groupBy("part").applyInArrow(_bloom(bits), "bits binary").collect()
     packed = np.zeros(bits // 8, np.uint8)
     for r in maps:
         packed |= np.frombuffer(r.bits, np.uint8)
-    found = row(docs, "doc_id").mapInArrow(_doc_windows(sorted(r.width for r in seen), packed.tobytes(), bits), _OUT)
-    b = bench.select("h", "h2", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    size = b.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
+    found = row(docs, "doc_id").mapInArrow(_doc_windows(sorted((r.width, r.exact) for r in seen), packed.tobytes(), bits), _OUT)
+    b = bench.select("h", "h2", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.when(~F.col("exact"), F.col("pos")).alias("template_pos"))
+    size = b.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct("template_pos").alias("item_templates"))
     pairs = found.withColumnRenamed("id", "doc_id").join(b, ["h", "h2"]).withColumn("shift", F.col("pos") - F.col("item_pos")).withColumn("pair", F.arrays_zip("item_slots", "slots"))
     each = pairs.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("item_slots"))).alias("values"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("mapped")
+        F.collect_set("item_pos").alias("at"), F.collect_set("template_pos").alias("template_at"), F.array_distinct(F.flatten(F.collect_set("item_slots"))).alias("values"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("mapped")
     )
     each = each.where(F.size("values") >= F.lit(consistent) * F.size("mapped")).withColumn("same", F.forall("mapped", lambda p: p["item_slots"] == p["slots"]))
-    both = each.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n_windows"), F.max("same").alias("same_values"))
-    return both.join(size, "item_id").where(F.col("n_windows") >= F.least(F.lit(need), F.col("item_windows"))).select("doc_id", "item_id", F.col("n_windows").cast("long"), F.col("item_windows").cast("long"), "same_values")
+    n_of = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
+    both = each.groupBy("doc_id", "item_id").agg(n_of("at").alias("n_windows"), n_of("template_at").alias("n_templates"), F.max("same").alias("same_values"))
+    enough = lambda n, of: (F.col(of) > 0) & (F.col(n) >= F.least(F.lit(need), F.col(of)))
+    return both.join(size, "item_id").where(enough("n_windows", "item_windows") | enough("n_templates", "item_templates")).select("doc_id", "item_id", F.col("n_windows").cast("long"), F.col("item_windows").cast("long"), "same_values")
 
 
 def op5_benchmark_decontamination(spark, sf_dir) -> DataFrame:

@@ -146,6 +146,15 @@ def test_template_matches(spark):
     assert {r.same_values for r in got if r.doc_id == 1} == {True} and {r.same_values for r in got if r.doc_id == 2} == {False}
 
 
+def test_copies_of_numeric_items(spark):
+    sums = ["What is 12 * (7 + 5) - 9 / 3?", "Let x = 3. Compute 4 + 5 * 6 - 7 + 8 * 9 - 10."]
+    mixed = "Tom buys 12 apples and pays for them with cash. Then 3 4 5 6 7 8 9 10 11 12 13 14."
+    d = [(1, "He asked: " + sums[0] + " Nobody knew."), (2, "so " + sums[1]), (3, sums[1].replace("4", "2")), (4, "What is 13 * (7 + 5) - 9 / 3?"), (5, mixed.replace("12 apples", "15 apples").replace(" 3 4 5", " 1 1 1")), (6, mixed)]
+    docs = spark.createDataFrame(d, "doc_id long, text string")
+    items = spark.createDataFrame([(1, sums[0]), (2, sums[1]), (3, mixed)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == {(1, 1), (2, 2), (5, 3), (6, 3)}
+
+
 def test_benchmark_in_the_tables(spark, sf):
     words = lambda x: re.findall(r"[^\W_]+", (x or "").lower())
     parts = set()
