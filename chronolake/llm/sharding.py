@@ -68,19 +68,19 @@ def splitters(rows: DataFrame, total: int, ranges: int, per_range: int = 32, rou
     s = sample(rows, total, ranges * per_range)
     if ranges > 1 and len(s):
         cuts = np.unique(_quantiles(s, ranges, False), axis=0)
-    for _ in range(rounds):
+    for k in range(rounds + 1):
         ranged = rows.mapInArrow(_ranges(cuts), "doc_id long, size long, text_crc32 long, h long, rng long")
         stats = ranged.groupBy("rng").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # a row for each range
         over = {r.rng: r.b for r in stats if r.n > 1 and r.b > 2 * total / ranges}
-        if not over:
+        if not over or k == rounds:  # the last pass only measures, so that stats describe the cuts
             break
         more = []
         parts = ranged.where(F.col("rng").isin(list(over)))
         share = sum(over.values())
         s = sample(parts, share, max(64, int(per_range * ranges * share / total)) * 2)
         owner = _owner(cuts, s)
-        for k, b in over.items():
-            own = s[owner == k]
+        for rng, b in over.items():
+            own = s[owner == rng]
             if len(own) > 1:
                 more.append(_quantiles(own, max(2, int(b * ranges / total) + 1), True))
         new = np.unique(np.concatenate([cuts, *more]), axis=0) if more else cuts

@@ -135,6 +135,13 @@ def test_shards(spark, docs, shards):
     assert max(map(len, where.values())) <= max(1, shards)
 
 
+def test_ranges_fit_the_last_cuts(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(9).cast("long").alias("size"), F.lit(1).cast("long").alias("text_crc32"), F.lit(7).cast("long").alias("h"))
+    cuts, stats = sharding.splitters(rows, 27_000, 64, rounds=1)
+    batch = rows.toArrow().combine_chunks().to_batches()[0]
+    assert len(cuts) > 1 and {r.rng: r.n for r in stats} == Counter(next(sharding._ranges(cuts)([batch])).column("rng").to_pylist())
+
+
 def test_template_matches(spark):
     text = "Tom buys 12 apples for 30 dollars and gives 12 apples to Anna every single week of the year."
     d = [(1, "Well. " + text), (2, text.replace("12", "15").replace("30", "45").replace("Anna", "Maria")), (3, text.replace("12", "15", 1).replace("30", "45")), (4, "Tom buys nothing at all here, ever, no matter what the week of the year may be"), (5, None), (None, text), (6, text.upper())]
