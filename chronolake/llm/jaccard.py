@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     rows = stored(docs.mapInArrow(_classes, "doc_id long, h long, class long, n long"), "classes")
-    sets = stored(rows.where("class is not null").groupBy("class").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h")).alias("one")), "sets")
+    sets = stored(rows.where("class is not null").groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("one")), "sets")
     # texts with their class again, one row for each class of a batch
     with_class = docs.where("text is not null").mapInArrow(_with_class, "text string, class long")
     buckets = max(16, min(4096, rows.count() // 4096))
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("class").alias("a"), F.col("to").alias("b"))).withColumnsRenamed({"node": "class"})
     known = sets.join(links, "class", "left").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    known = known.select("class", "label", F.col("one.doc_id").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = known.select("class", "label", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     ids = known.groupBy("label").agg(F.min("least").alias("class_id"))
     per_class = known.join(ids, "label").select("class", "class_id", "n_links")
     out = rows.join(per_class, "class", "left")

@@ -306,6 +306,11 @@ def test_near_duplicates(spark, chunk):
     assert Counter((x.doc_id, x.class_id, x.n_links) for x in got) == brute_near(rows)
 
 
+def test_copies_without_doc_id(spark):
+    df = spark.createDataFrame([(None, "one text here"), (6, "one text here"), (5, "one text here")], "doc_id long, text string")
+    assert {(x.doc_id, x.class_id, x.n_links) for x in jaccard.near_duplicates(df).collect()} == {(None, 5, 2), (6, 5, 2), (5, 5, 2)}
+
+
 def test_least_matches_rise():
     k = jaccard.least_matches(0.8, 1e-6)
     assert list(k) == sorted(k) and 0 < k[-1] < 0.8 * jaccard.HASHES
