@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +49,12 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int) -
     return nodes.join(ids, "id", "left_semi"), both_ends(edges, ids)
 
 
-def shortest_path(adj: DataFrame, source, target, depth: int = 6) -> DataFrame:
-    """(hops, mean_confidence, path) of a fewest-hop path; of equals the best mean confidence, then the least path."""
+def shortest_path(adj: DataFrame, source, target, depth: int | None = None) -> DataFrame:
+    """(hops, mean_confidence, path) of a fewest-hop path; of equals the best mean confidence, then the least path. No limit of hops unless ``depth`` is given."""
     kind = dict(adj.dtypes)["a"]
     front = cut(adj.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id"), F.array(F.lit(source).cast(kind)).alias("path"), F.lit(0.0).alias("total")))
     seen = front.select("id")
-    for h in range(1, depth + 1):
+    for h in count(1) if depth is None else range(1, depth + 1):
         step = front.join(adj, front.id == adj.a).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"), (F.col("total") + F.col("w")).alias("total")).join(seen, "id", "left_anti")
         w = Window.partitionBy("id").orderBy(F.desc("total"), "path")
         front = cut(step.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"))
@@ -61,7 +63,7 @@ def shortest_path(adj: DataFrame, source, target, depth: int = 6) -> DataFrame:
             return hit.select(F.lit(h).alias("hops"), F.round(F.col("total") / h, 6).alias("mean_confidence"), "path")
         if front.isEmpty():
             break
-        seen = seen.union(front.select("id"))
+        seen = cut(seen.union(front.select("id")))
     return front.where("false").select(F.lit(0).alias("hops"), F.col("total").alias("mean_confidence"), "path")
 
 

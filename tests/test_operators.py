@@ -136,6 +136,12 @@ def test_shadow_keeps_to_its_budget(spark):
     assert got == "my alias e org some alpha bravo charlie"
 
 
+def test_shortest_path_of_many_hops(spark):
+    adj = spark.createDataFrame([(i, i + 1, 0.5) for i in range(9)], "a long, b long, w double")
+    assert [tuple(r) for r in G.shortest_path(adj, 0, 9).collect()] == [(9, 0.5, list(range(10)))]
+    assert G.shortest_path(adj, 0, 99).count() == 0
+
+
 def test_bridges_of_a_large_component(spark):
     ring = [(i, (i + 1) % 20) for i in range(20)]
     leaves = [(i % 10, 100 + i) for i in range(6000)]
