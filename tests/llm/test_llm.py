@@ -393,27 +393,21 @@ def test_one_measure_at_every_length(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
 
 
-def test_simhash_sums(spark):
-    words = ["alpha", "beta", "gamma", "beta"]
-    df = spark.createDataFrame([(1, 0, " ".join(words))], "doc_id long, th long, text string")
-    got = line_dedup.line_table(df).first().sim & (2**64 - 1)
-    hashes = [r[0] & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
-    assert got == sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(words))
-
-
-def test_close_pairs_finds_all(spark):
-    r = np.random.default_rng(2)
-    base = r.integers(-(2**63), 2**63 - 1, 20)
-    sims = {int(b) for b in base}
-    for b in base:
-        for n in (1, 2, 3, 4):
-            x = int(b) & (2**64 - 1)
-            for j in r.choice(64, n, replace=False):
-                x ^= 1 << int(j)
-            sims.add(x - 2**64 if x >> 63 else x)
-    members = line_dedup.close_members(spark.createDataFrame([(s,) for s in sims], "sim long"))
-    got = {tuple(x) for x in line_dedup.close_pairs(members, [], F.lit(True)).collect()}
-    assert got == {(a, b) for a in sims for b in sims if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+def test_edit_bound(spark):
+    """The shortened comparison decides as brute force does."""
+    r = np.random.default_rng(11)
+    rows = []
+    for _ in range(300):
+        words = ["".join(r.choice(list("abcü"), r.integers(1, 5))) for _ in range(r.integers(0, 9))]
+        other = [w for w in words if r.random() > 0.1]
+        for _ in range(r.integers(0, 3)):
+            other.insert(r.integers(len(other) + 1), str(r.choice(["a", "bb", "cüc", "x"])))
+        if r.random() < 0.2:
+            r.shuffle(other)
+        rows.append((" ".join(words), " ".join(other), int(r.integers(0, 8))))
+    df = spark.createDataFrame(rows, "x string, y string, most int")
+    got = df.select("x", "y", "most", line_dedup.within(F.col("x"), F.col("y"), F.col("most")).alias("near")).collect()
+    assert all(g.near == (edits(g.x, g.y) <= g.most) for g in got) and {g.near for g in got} == {True, False}
 
 
 def test_components(spark):
