@@ -99,50 +99,114 @@ def index_url(url: Column, title: Column) -> Column:
     return F.when(bad | (F.trim(F.coalesce(url, F.lit(""))) == ""), F.lit(None)).otherwise(L.canonical(url))
 
 
-def privacy_class(text: Column) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(X.contains_any(t, ["password", "secret", "api key", "token", "private key"]), "secret").when(X.contains_any(t, ["bank", "medical", "salary", "ssn"]), "sensitive").when(X.contains_any(t, ["family", "personal", "birthday", "vacation"]), "personal").otherwise("project")
+# Words of the privacy classes, first match counts.
+PRIVACY = [("secret", ["password", "secret", "token"]), ("sensitive", ["bank", "finance", "health"]), ("personal", ["message", "mail"])]
+DESIGN_VERBS = ["design", "designed", "propose", "proposed", "plan", "planned", "architect", "architected"]
+# Fragments of urls, titles and paths that name an action, first match counts.
+ACTION_RULES = [
+    ("meeting", {"url": ["zoom", "meet.google"], "title": ["zoom meeting", "zoom", "meet.google"], "activity": ["meeting"]}),
+    ("communication", {"url": ["mail.google", "slack.com", "discord.com"], "title": ["inbox"]}),
+    ("reviewing", {"url": ["/pull/", "/merge_requests/"], "title": ["pull request", "code review"]}),
+    ("coding", {"suffix": [".rs", ".ts", ".tsx", ".go", ".py"], "title": ["debug", "compiler error"]}),
+    ("writing", {"url": ["notion.", "docs.google"], "title": ["design doc", "prd"]}),
+    ("planning", {"url": ["linear.app", "jira"], "title": ["roadmap", "sprint planning"]}),
+    ("research", {"url": ["arxiv.org", "wikipedia.org"], "title": ["research"]}),
+]
+ACTIVITY_ACTIONS = {"coding": "coding", "development": "coding", "browsing": "research", "reading": "research", "communication": "communication", "docs": "writing", "documentation": "writing", "design": "planning"}
+# Least scores of a primary memory and the beginnings of template texts.
+PRIMARY = {"specificity": 0.60, "intent": 0.55, "usefulness": 0.60, "noise": 0.50}
+TEMPLATES = ["screen capture (visual)", "captured recent activity", "url-only surface capture"]
+POLLUTED = ["Reopen: ", "Continues from "]
+
+
+def _folded(*parts: Column) -> Column:
+    return F.lower(F.concat_ws(" ", *parts))
+
+
+def privacy_class(*parts: Column) -> Column:
+    """secret, sensitive, personal or project, by the words of app, title and text."""
+    t, out = _folded(*parts), F.lit("project")
+    for name, words in reversed(PRIVACY):
+        out = F.when(X.contains_any(t, words), name).otherwise(out)
+    return out
+
 
+def activity_type(explicit: Column, errors: Column, commands: Column, decisions: Column, next_steps: Column, files: Column, context: Column, url: Column, text: Column) -> Column:
+    """The stated activity, else by structure, else by the strongest cue in the text. errors to files are arrays; null is empty."""
+    n = {k: F.greatest(F.coalesce(F.size(v), F.lit(0)), F.lit(0)) for k, v in {"err": errors, "cmd": commands, "dec": decisions, "next": next_steps, "files": files}.items()}
+    design = F.exists(F.coalesce(decisions, F.array().cast("array<string>")), lambda d: F.element_at(F.split(F.lower(F.trim(d)), "\\s+"), 1).isin(DESIGN_VERBS))
+    t, linked = F.lower(F.concat_ws(" ", text, context)), url.isNotNull()
+    cue = lambda *words: X.contains_any(t, list(words))
+    return (
+        F.when(F.trim(F.coalesce(explicit, F.lit(""))) != "", F.lower(explicit))
+        .when((n["err"] > 0) & (n["cmd"] > 0), "debugging")
+        .when((n["dec"] >= 1) & (n["next"] >= 2), "implementation planning")
+        .when((n["files"] >= 2) & (n["dec"] == 0), "refactor review")
+        .when(design, "system design")
+        .when((n["next"] >= 1) & linked, "architecture analysis")
+        .when((F.length(F.coalesce(context, F.lit(""))) > 800) & (n["err"] == 0) & (n["cmd"] == 0), "instruction writing")
+        # the cues by falling weight: .40, .32, .30, .26, .24, .20
+        .when((n["err"] > 0) | cue("error", "failed"), "debugging")
+        .when(n["files"] > 0, "coding")
+        .when((n["dec"] > 0) | cue("decision", "tradeoff"), "planning")
+        .when(cue("test", "assert", "validation"), "testing_workflow")
+        .when((n["next"] > 0) | cue("todo", "next step"), "organizing_information")
+        .when(linked, "researching")
+        .otherwise("unknown")
+    )
 
-# Words that speak for an activity.
-ACTIVITIES = {
-    "coding": ["code", "function", "compile", "commit", "debug", "rust", "python"],
-    "reading": ["article", "read", "paper", "docs", "blog"],
-    "communication": ["chat", "mail", "message", "slack", "meeting"],
-    "planning": ["todo", "plan", "task", "roadmap", "calendar"],
-    "design": ["design", "figma", "layout", "prototype"],
-}
 
+def action_class(url: Column, title: Column, summary: Column, activity: Column, files: Column) -> Column:
+    """The first class with a fragment in url, title or activity or a file of its kind; else by the activity's name; else other."""
+    fold = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    where = {"url": fold(url), "title": F.concat(fold(title), F.lit(" "), fold(summary)), "activity": fold(activity)}
+    paths = F.coalesce(files, F.array().cast("array<string>"))
+    named = F.create_map(*[F.lit(x) for kv in ACTIVITY_ACTIONS.items() for x in kv])
+    out = F.coalesce(named[where["activity"]], F.lit("other"))
+    for name, rule in reversed(ACTION_RULES):
+        hit = F.lit(False)
+        for kind, parts in rule.items():
+            hit = hit | (F.exists(paths, lambda p: reduce(lambda a, b: a | b, [F.lower(p).endswith(x) for x in parts])) if kind == "suffix" else X.contains_any(where[kind], parts))  # noqa: B023
+        out = F.when(hit, name).otherwise(out)
+    return out
 
-def activity_type(text: Column) -> Column:
-    """The activity with most of its words in the text; of equals the first by name; none: other."""
-    t = F.concat(F.lit(" "), X.normalise(text), F.lit(" "))
-    scores = F.array(*[F.struct(reduce(lambda a, b: a + b, [t.contains(f" {w} ").cast("int") for w in ws]).alias("n"), F.lit(k).alias("k")) for k, ws in ACTIVITIES.items()])
-    best = F.array_min(F.transform(scores, lambda s: F.struct((-s["n"]).alias("n"), s["k"].alias("k"))))
-    return F.when(best["n"] == 0, "other").otherwise(best["k"])
 
+def polluted(context: Column) -> Column:
+    """A line of the context begins with a machine's mark."""
+    return F.exists(F.split(F.coalesce(context, F.lit("")), "\n"), lambda x: reduce(lambda a, b: a | b, [F.ltrim(x).startswith(m) for m in POLLUTED]))
 
-ACTIONS = [("error", ["error", "failed", "exception", "traceback"]), ("decision", ["decided", "decision", "agreed"]), ("command", ["$ ", "npm ", "git "]), ("edit", ["edited", "saved", "diff"]), ("search", ["search", "query"]), ("message", ["chat", "reply", "mail"]), ("read", ["read", "article", "docs"])]
 
+def fluff(insight: Column, app: Column) -> Column:
+    """A screenshot's file name, a template, or the app's name twice in four words."""
+    what = F.trim(F.coalesce(insight, F.lit("")))
+    low, name = F.lower(what), F.lower(F.trim(F.coalesce(app, F.lit(""))))
+    shot = low.contains(".png") & (F.length(F.regexp_replace(low, "[^0-9]", "")) >= 6)
+    template = reduce(lambda a, b: a | b, [low.startswith(t) for t in TEMPLATES])
+    mentions = (F.length(low) - F.length(F.replace(low, name, F.lit("")))) / F.length(name)
+    repeats = F.when((name != "") & (F.size(F.split(what, "\\s+")) <= 4), mentions >= 2).otherwise(False)
+    return (what != "") & (shot | template | repeats)
 
-def action_class(text: Column) -> Column:
-    """The first of the ordered classes with a fragment in the text, else view."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    out = F.lit("view")
-    for name, parts in reversed(ACTIONS):
-        out = F.when(X.contains_any(t, parts), F.lit(name)).otherwise(out)
-    return out
 
+def storage_outcome(r: dict[str, Column]) -> Column:
+    """Where a record goes: hard gates first, then primary, merge, discard, enriched, low quality or deferred.
 
-def storage_outcome(text: Column, noise: Column, merge: Column, importance: Column) -> Column:
-    """discard, defer, merge, primary, enriched or low, gates first."""
+    r has visual_failed, unavailable, weak_visual and related (booleans), grounding
+    (null: unknown), context, insight, app, fingerprint, specificity, intent,
+    usefulness, noise, retrieval and evidence.
+    """
+    primary = (r["specificity"] >= PRIMARY["specificity"]) & (r["intent"] >= PRIMARY["intent"]) & (r["usefulness"] >= PRIMARY["usefulness"]) & (r["noise"] <= PRIMARY["noise"])
     return (
-        F.when(~indexable(text) | (noise > 0.97), "discard")
-        .when(F.length(text) < 24, "defer")
-        .when(merge, "merge_into_existing")
-        .when(importance >= 0.6, "primary_memory")
-        .when(importance >= 0.3, "enriched_memory")
-        .otherwise("low_value")
+        F.when(r["visual_failed"], "visual_semantics_failed")
+        .when(r["unavailable"] & (F.coalesce(r["grounding"], r["evidence"]) <= 0), "quarantine_low_grounding")
+        .when(polluted(r["context"]), "quarantine_polluted_context")
+        .when(fluff(r["insight"], r["app"]), "quarantine_fluff_insight")
+        .when(r["weak_visual"], "low_quality_evidence")
+        .when(primary, "primary_memory_card")
+        .when((F.trim(F.coalesce(r["fingerprint"], F.lit(""))) != "") & (r["specificity"] < PRIMARY["specificity"]), "merge_into_existing_memory")
+        .when(r["related"] & (r["retrieval"] < 0.35) & (r["evidence"] < 0.50), "discard_duplicate")
+        .when(r["usefulness"] >= 0.45, "enriched_memory_card")
+        .when(r["evidence"] >= 0.45, "low_quality_evidence")
+        .otherwise("defer_until_more_context")
     )
 
 

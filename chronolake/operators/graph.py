@@ -12,17 +12,35 @@ from .joins import both_ends
 
 LEAST_CONFIDENCE = 0.3
 
-# Aliases of edge types.
-EDGE_ALIASES = {"mentions": "mentioned_in", "relates_to": "related_to", "refers_to": "references", "uses": "used_by", "depends": "depends_on", "part": "part_of", "fixes": "resolves", "caused": "caused_by", "made": "created", "opened": "visited", "next": "followed_by"}
+# Names of edge types, their older names, and the kinds of edge.
+EDGE_ALIASES = {
+    "HasTopic": "MentionedIn", "CausedError": "Causes", "ResolvedError": "Resolves", "MadeDecision": "CreatedBy", "CreatedTodo": "CreatedBy", "RelatedTo": "SimilarTo",
+    "Before": "PrecededBy", "After": "FollowedBy", "VisitedUrl": "MentionedIn", "UsesFile": "UsedIn", "MentionsEntity": "MentionedIn",
+}
+EDGE_TYPES = [
+    "DependsOn", "Contains", "Imports", "Extends", "Implements", "PartOf", "Supports", "Contradicts", "Supersedes", "Refines", "Questions", "Resolves", "Causes", "Prevents", "TriggeredBy",
+    "FixedBy", "BrokeBy", "PrecededBy", "FollowedBy", "SimilarTo", "MentionedIn", "UsedIn", "CreatedBy", "AppliesTo", "OccurredInSession", "BelongsToProject", "UsedApp", "SameTaskAs", "EvidencedBy",
+]
+EDGE_KINDS = {
+    "structural": ["PartOf", "Contains", "DependsOn", "Imports", "Extends", "Implements", "UsedIn", "CreatedBy", "Refines", "Supports", "FixedBy", "BrokeBy", "Prevents"],
+    "semantic": ["SimilarTo"],
+    "temporal": ["PrecededBy", "FollowedBy", "Causes", "TriggeredBy"],
+    "conflict": ["Contradicts", "Supersedes", "Resolves", "Questions"],
+}
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
-    m = F.create_map(*[F.lit(x) for kv in EDGE_ALIASES.items() for x in kv])
-    return edges.withColumn("edge_type", F.coalesce(m[F.lower("edge_type")], F.lower("edge_type")))
+    """edge_type by its present name; null where the name is unknown."""
+    m = F.create_map(*[F.lit(x) for kv in (EDGE_ALIASES | {t: t for t in EDGE_TYPES}).items() for x in kv])
+    return edges.withColumn("edge_type", m[F.col("edge_type")])
 
 
 def edge_kind(edge_type):
-    return F.when(edge_type.isin("part_of", "depends_on"), "structure").when(edge_type.isin("caused_by", "resolves"), "cause").when(edge_type.isin("followed_by", "visited"), "time").when(edge_type.isin("mentioned_in", "references"), "evidence").otherwise("related")
+    """structural, semantic, temporal, conflict or, for all others, reference."""
+    out = F.lit("reference")
+    for kind, names in EDGE_KINDS.items():
+        out = F.when(edge_type.isin(names), kind).otherwise(out)
+    return out
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:

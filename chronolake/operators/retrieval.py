@@ -23,12 +23,37 @@ SHORT = {"semantic": 0.24, "snippet": 0.14, "lexical": 0.62}
 LEXICAL_ONLY = {"semantic": 0.0, "snippet": 0.0, "lexical": 1.0}
 FIELD_WEIGHTS = {"title": 1.8, "snippet": 1.35, "context": 1.25, "text": 1.1, "shadow": 1.05, "alias": 1.0, "url": 0.95, "app": 0.75}
 RECENCY_WORDS = ["recent", "latest", "last", "today", "yesterday", "now", "current", "after", "new"]
-INTENT_WEIGHTS = {
-    "lookup": {"vector": 0.40, "keyword": 0.35, "temporal": 0.10, "entity": 0.10, "graph": 0.05},
-    "timeline": {"vector": 0.20, "keyword": 0.20, "temporal": 0.40, "entity": 0.10, "graph": 0.10},
-    "graph": {"vector": 0.20, "keyword": 0.15, "temporal": 0.05, "entity": 0.25, "graph": 0.35},
+# A route's weight, and what an intent changes in it.
+BASE_WEIGHTS = {"chunk": 0.45, "vector": 0.45, "keyword": 0.20, "temporal": 0.10, "entity": 0.10, "graph": 0.10, "recency": 0.05}
+WEIGHT_CHANGES = {
+    "resume_work": {"chunk": 0.40, "vector": 0.35, "temporal": 0.20, "graph": 0.15},
+    "debug": {"chunk": 0.40, "vector": 0.35, "graph": 0.20},
+    "lookup": {"chunk": 0.40, "vector": 0.35, "keyword": 0.30},
+    "how_to": {},
+    "definition": {},
+    "timeline": {"chunk": 0.35, "vector": 0.30, "temporal": 0.25},
+    "related_to": {"chunk": 0.40, "vector": 0.35, "graph": 0.20},
 }
-GRAPH_PLANS = {"lookup": (1, ["related_to"]), "timeline": (1, ["followed_by"]), "graph": (2, ["related_to", "references", "depends_on", "part_of"])}
+INTENT_WEIGHTS = {intent: BASE_WEIGHTS | changes for intent, changes in WEIGHT_CHANGES.items()}
+# Hops, kinds of seeds and edges of the graph route by intent.
+GRAPH_PLANS = {
+    "resume_work": (2, ["Project", "Session", "Memory", "Task"], ["OccurredInSession", "BelongsToProject", "PrecededBy", "FollowedBy", "SameTaskAs"]),
+    "debug": (2, ["Error", "File", "Command", "Memory"], ["Causes", "Resolves", "FixedBy", "BrokeBy", "TriggeredBy"]),
+    "lookup": (1, ["Memory", "Concept", "File", "Url"], ["MentionedIn", "BelongsToProject"]),
+    "how_to": (1, ["Tool", "Command", "File", "Memory"], ["UsedIn", "MentionedIn", "EvidencedBy"]),
+    "definition": (2, ["Concept", "Memory"], ["BelongsToProject", "MentionedIn", "EvidencedBy"]),
+    "timeline": (0, ["Session", "Memory"], ["PrecededBy", "FollowedBy"]),
+    "related_to": (2, ["Concept", "Memory"], ["SimilarTo", "MentionedIn"]),
+}
+# Parts of a question that tell its intent, first match counts.
+INTENT_WORDS = [
+    ("timeline", ["timeline", "chronology", "sequence of"]),
+    ("resume_work", ["resume", "pick up", "continue", "working on", "left off"]),
+    ("debug", ["debug", "error", "failed", "failure", "panic", "exception", "broken"]),
+    ("related_to", ["related to", "similar to", "connected to"]),
+]
+TEMPORAL_WORDS = ["today", "yesterday", "last week", "before", "after", "recent", "latest"]
+DEFINITION_STARTS = ("why is ", "why does ", "what is ", "define ")
 
 
 def _norm(s: str) -> str:
@@ -375,12 +400,23 @@ def graph_route(seeds: DataFrame, reached: DataFrame) -> DataFrame:
     return x.groupBy("id").agg(F.max(0.58 * F.col("score") + 0.42 * F.col("path_confidence")).alias("score"))
 
 
-def verify(fused: DataFrame, p: Profile) -> DataFrame:
-    """One row: status (grounded, partial or none), confidence, backers."""
-    kept = fused.where(F.greatest(coverage(p, F.col("toks")), F.col("score")) >= 0.3)
-    n = F.count("*")
-    confidence = F.least(F.lit(1.0), 0.8 * F.coalesce(F.max("score"), F.lit(0.0)) + 0.04 * F.least(n, F.lit(5)))
-    return kept.agg(F.when(n == 0, "none").when(n < 2, "partial").otherwise("grounded").alias("status"), F.round(confidence, 6).alias("confidence"), n.alias("backers"))
+def verify(fused: DataFrame, needed: dict, evidence: dict) -> DataFrame:
+    """One row: status (grounded, partial or not_enough_evidence), what is missing, and the confidence of a grounded answer.
+
+    fused: id, score, coverage, routes (array), path_nodes (of the graph path, or null).
+    needed and evidence tell which of files, decisions and errors are asked for and found.
+    """
+    score = F.least(F.col("score"), F.lit(1.0))
+    kept = F.array_contains("routes", "graph") | (F.greatest(F.col("coverage"), score) >= 0.3)
+    weak = kept & (F.col("routes") == F.array(F.lit("graph"))) & F.coalesce(F.col("path_nodes") == 2, F.lit(False))
+    all_of = fused.agg(F.count("*").alias("rows"), F.count_if(kept).alias("kept"), F.countDistinct(F.when(kept, F.col("id"))).alias("backers"), F.count_if(weak).alias("weak"), F.max(F.when(kept, score)).alias("top"))
+    lacks = lambda k: bool(needed.get(k)) and not evidence.get(k)
+    absent = [f"no {k[:-1]} evidence" for k in ("decisions", "errors") if lacks(k)]
+    confidence = F.least(F.lit(1.0), F.col("top") * 0.8 + F.least(F.col("kept"), F.lit(5)) * 0.04) * F.when(F.col("weak") > 0, 0.85).otherwise(1.0)
+    few, lone = (F.col("rows") == 0) | (F.col("kept") == 0), F.col("backers") < 2
+    missing = F.when(F.col("rows") == 0, "no fused hits").when(F.col("kept") == 0, "all hits below confidence threshold").when(lone, "only one memory backs the top result")
+    missing = missing.otherwise("no file evidence for a file-seeking query" if lacks("files") else "; ".join(absent))
+    return all_of.select(F.when(few, "not_enough_evidence").when(missing != "", "partial").otherwise("grounded").alias("status"), missing.alias("missing"), F.when(missing == "", confidence).alias("confidence"))
 
 
 def token_budget(df: DataFrame, text: str, order: list, budget: int) -> DataFrame:
@@ -394,24 +430,50 @@ def merge_score(lexical: Column, vector: Column, same_domain: Column, anchor: Co
 
 
 def merge_allowed(score: Column, lexical: Column, vector: Column, anchor: Column) -> Column:
-    """By anchor, by words or by vector."""
-    return (anchor & (score >= 0.52)) | ((lexical >= 0.62) & (score >= 0.5)) | ((vector >= 0.88) & (lexical >= 0.28))
+    """With an anchor by its own limits only; else by words or by vector."""
+    return F.when(anchor, (score >= 0.58) & (lexical >= 0.18)).otherwise(((lexical >= 0.72) & (score >= 0.80)) | ((score >= 0.86) & (vector >= 0.82) & (lexical >= 0.28)))
+
+
+def merge_allowed_by_words(score: Column, lexical: Column, anchor: Column) -> Column:
+    """The limits where no vector is at hand."""
+    return F.when(anchor, (lexical >= 0.24) & (score >= 0.46)).otherwise((lexical >= 0.66) & (score >= 0.74))
 
 
 def provenance(df: DataFrame, state: str, score: str) -> DataFrame:
     return df.withColumn(score, F.col(score) * V.provenance_factor(F.col(state)))
 
 
-def plan(query: str, routes: tuple[str, ...] = ("vector", "keyword", "temporal", "entity", "graph")) -> dict:
-    """The query plan: intent, routes, weights, hops, edges, window, entity hints."""
+def planner_intent(p: Profile) -> str:
+    """One of seven intents, by ordered rules over the normalised question."""
+    for intent, parts in INTENT_WORDS:
+        if any(x in p.normalised for x in parts):
+            return intent
+    if p.normalised.startswith(DEFINITION_STARTS) or p.intent == "definition":
+        return "definition"
+    return "how_to" if p.intent == "howto" else "lookup"
+
+
+def plan(query: str, project: str | None = None) -> dict:
+    """The query plan: intent, routes, weights, hops, kinds of seeds, edges, window, entity hints and needed context."""
     p = Profile(query)
     n = p.normalised
-    intent = "timeline" if any(w in n.split() for w in ("when", "timeline", "history", "yesterday", "today")) else "graph" if any(w in n for w in ("related", "connected", "depends", "link")) else "lookup"
-    hops, edges = GRAPH_PLANS[intent]
+    intent = planner_intent(p)
+    hops, seeds, edges = GRAPH_PLANS[intent]
+    if project and "Project" not in seeds:
+        seeds = [*seeds, "Project"]
     span = "24h" if "today" in n else "yesterday" if "yesterday" in n else "7d" if "week" in n else None
     hints = re.findall(r"\b[A-Z][\w-]{2,}|\b[\w./-]+\.(?:rs|py|ts|md)\b|#\d+", query)
-    chosen = [r for r in routes if r not in ("graph", "entity") or hints or intent == "graph"]
-    return {"profile": p, "intent": intent, "routes": chosen, "weights": INTENT_WEIGHTS[intent], "hops": min(2, hops), "edges": edges, "window": span, "hints": hints}
+    routes = ["chunk", "vector", "keyword", *(["entity"] if hints or project else []), *(["temporal"] if span or p.recent or any(w in n for w in TEMPORAL_WORDS) else []), "graph"]
+    has = lambda *parts: any(x in n for x in parts)
+    needed = {
+        "files": has("file", "path") or any("." in h for h in hints),
+        "decisions": has("decision", "decided", "why"),
+        "errors": intent == "debug" or has("error", "failed", "failure", "panic"),
+        "todos": has("todo", "task", "next step"),
+        "commands": has("command", "terminal", "run"),
+        "recent_changes": intent == "resume_work" or has("recent", "latest", "changes", "working on"),
+    }
+    return {"profile": p, "intent": intent, "routes": routes, "weights": INTENT_WEIGHTS[intent], "hops": hops, "seeds": seeds, "edges": edges, "window": span, "hints": hints, "project": project, "needed": needed}
 
 
 def refined(base: dict, changes: dict) -> dict:

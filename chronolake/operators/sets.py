@@ -40,3 +40,15 @@ def split_top(df: DataFrame, flag, weight: str, each: int) -> DataFrame:
 
 def clamp_limit(n: int | None, most: int = 50, default: int = 20) -> int:
     return max(1, min(most, default if n is None else n))
+
+
+# What a task's origin adds to its priority.
+ORIGIN = {"manual": 22, "meeting": 16, "memory": 11}
+
+
+def task_priority(age_hours, memories, urls, due, origin, supported, low_signal):
+    """A task's score: recency in 96 hours, linked memories and urls, due date and origin, less what weak tasks lose."""
+    bonus = F.coalesce(F.create_map(*[F.lit(x) for kv in ORIGIN.items() for x in kv])[origin], F.lit(6))
+    recent = F.greatest(F.lit(0), F.least(F.lit(96), 96 - F.greatest(age_hours, F.lit(0))))
+    weak = F.when(~supported & ~origin.isin("manual", "meeting"), 18).otherwise(0) + F.when(low_signal, 24).otherwise(0)
+    return recent + F.least(memories, F.lit(10)) * 4 + F.least(urls, F.lit(6)) * 2 + F.when(due, 12).otherwise(0) + bonus - weak

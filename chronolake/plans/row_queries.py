@@ -155,25 +155,76 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", P.index_url(F.col("url"), F.lit("")).alias("url"))
 
 
-@query("f23_privacy_class", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'password|secret|api key|token|private key') THEN 'secret' WHEN regexp_matches(lower(text), 'bank|medical|salary|ssn') THEN 'sensitive' WHEN regexp_matches(lower(text), 'family|personal|birthday|vacation') THEN 'personal' ELSE 'project' END AS class FROM documents WHERE text IS NOT NULL")
+@query("f23_privacy_class", "WITH t AS (SELECT doc_id, lower(concat_ws(' ', source, text)) AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, 'password|secret|token') THEN 'secret' WHEN regexp_matches(t, 'bank|finance|health') THEN 'sensitive' WHEN regexp_matches(t, 'message|mail') THEN 'personal' ELSE 'project' END AS class FROM t")
 def _(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", P.privacy_class(F.col("text")).alias("class"))
+    return table(spark, d, "documents").select("doc_id", P.privacy_class(F.col("source"), F.col("text")).alias("class"))
 
 
-@query("f24_activity_type")
+_ACTIVITY_SQL = """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'Reading' ELSE '' END AS explicit, doc_id % 7 = 0 AS err, doc_id % 2 = 0 AS cmd,
+    doc_id % 5 AS dec, doc_id % 3 AS nxt, doc_id % 4 AS files, coalesce(text, '') AS context, doc_id % 6 = 0 AS linked, lower(concat_ws(' ', source, text)) AS t FROM documents)
+SELECT doc_id, CASE WHEN explicit <> '' THEN lower(explicit) WHEN err AND cmd THEN 'debugging' WHEN dec >= 1 AND nxt >= 2 THEN 'implementation planning'
+    WHEN files >= 2 AND dec = 0 THEN 'refactor review' WHEN dec = 2 THEN 'system design' WHEN nxt >= 1 AND linked THEN 'architecture analysis'
+    WHEN length(context) > 800 AND NOT err AND NOT cmd THEN 'instruction writing' WHEN err OR regexp_matches(t, 'error|failed') THEN 'debugging'
+    WHEN files > 0 THEN 'coding' WHEN dec > 0 OR regexp_matches(t, 'decision|tradeoff') THEN 'planning' WHEN regexp_matches(t, 'test|assert|validation') THEN 'testing_workflow'
+    WHEN nxt > 0 OR regexp_matches(t, 'todo|next step') THEN 'organizing_information' WHEN linked THEN 'researching' ELSE 'unknown' END AS activity FROM r"""
+
+
+@query("f24_activity_type", _ACTIVITY_SQL)
+def _(spark, d):
+    i = F.col("doc_id")
+    some = lambda n, x: F.array_repeat(F.lit(x), n.cast("int"))
+    decisions = F.when(i % 5 == 2, F.array(F.lit("use it"), F.lit(" Designed twice"))).otherwise(some(i % 5, "keep the plan"))
+    activity = P.activity_type(F.when(i % 13 == 0, "Reading").otherwise(""), some((i % 7 == 0).cast("int"), "e"), some((i % 2 == 0).cast("int"), "make"), decisions, some(i % 3, "go on"), some(i % 4, "a.py"), F.col("text"), F.when(i % 6 == 0, "https://e.org"), F.concat_ws(" ", "source", "text"))
+    return table(spark, d, "documents").select("doc_id", activity.alias("activity"))
+
+
+_ACTION_URLS = ["", "https://x.zoom.us/j", "https://slack.com/a", "https://g.org/pull/7", "https://docs.google.com/d", "https://linear.app/i", "https://arxiv.org/abs", "https://e.org"]
+_ACTION_TITLES = ["", "Inbox (3)", "Code Review", "debug run", "PRD draft", "Roadmap", "research notes", "home", "Zoom"]
+_ACTIVITIES = ["", "Development", "reading", "docs", "design", "team meeting", "other"]
+_ACTION_SQL = f"""WITH r AS (SELECT event_id AS id, {_ACTION_URLS}[event_id % 8 + 1] AS url, lower({_ACTION_TITLES}[event_id % 9 + 1] || ' ' || event_type) AS title, lower({_ACTIVITIES}[event_id % 7 + 1]) AS activity, event_id % 5 = 0 AS code FROM events)
+SELECT id, CASE WHEN contains(activity, 'meeting') OR contains(url, 'zoom') OR contains(title, 'zoom') THEN 'meeting' WHEN regexp_matches(url, 'mail\\.google|slack\\.com|discord\\.com') OR contains(title, 'inbox') THEN 'communication'
+    WHEN contains(url, '/pull/') OR regexp_matches(title, 'pull request|code review') THEN 'reviewing' WHEN code OR regexp_matches(title, 'debug|compiler error') THEN 'coding'
+    WHEN regexp_matches(url, 'notion\\.|docs\\.google') OR regexp_matches(title, 'design doc|prd') THEN 'writing' WHEN regexp_matches(url, 'linear\\.app|jira') OR regexp_matches(title, 'roadmap|sprint planning') THEN 'planning'
+    WHEN regexp_matches(url, 'arxiv\\.org|wikipedia\\.org') OR contains(title, 'research') THEN 'research' WHEN activity = 'development' THEN 'coding' WHEN activity = 'reading' THEN 'research' WHEN activity = 'docs' THEN 'writing' WHEN activity = 'design' THEN 'planning' ELSE 'other' END AS action FROM r"""
+
+
+@query("f25_action_class", _ACTION_SQL.replace("\\\\", "\\"))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", P.activity_type(F.col("text")).alias("activity"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("id") % len(values) + 1).cast("int"))
+    files = F.when(F.col("id") % 5 == 0, F.array(F.lit("notes.md"), F.lit("src/Main.RS")))
+    return memories(spark, d).select("id", P.action_class(pick(_ACTION_URLS), pick(_ACTION_TITLES), F.col("app"), pick(_ACTIVITIES), files).alias("action"))
 
 
-@query("f25_action_class", "SELECT event_id AS id, CASE WHEN event_type LIKE '%error%' THEN 'error' WHEN event_type LIKE '%search%' THEN 'search' ELSE 'view' END AS action FROM events")
+_OUTCOME_SQL = """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey % 31 = 0 AS failed, l_partkey % 17 = 0 AS unavailable, CASE WHEN l_partkey % 2 = 0 THEN l_tax END AS grounding, l_suppkey % 19 = 0 AS polluted,
+    l_suppkey % 23 IN (1, 2, 3) AS fluff, l_partkey % 29 = 0 AS weak, l_quantity / 50 AS specificity, l_discount * 10 AS intent, l_tax * 12.5 AS usefulness, l_linenumber / 7 AS noise, l_returnflag = 'R' AS marked, l_linestatus = 'O' AS related, l_discount * 8 AS evidence FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN failed THEN 'visual_semantics_failed' WHEN unavailable AND coalesce(grounding, evidence) <= 0 THEN 'quarantine_low_grounding' WHEN polluted THEN 'quarantine_polluted_context'
+    WHEN fluff THEN 'quarantine_fluff_insight' WHEN weak THEN 'low_quality_evidence' WHEN specificity >= 0.6 AND intent >= 0.55 AND usefulness >= 0.6 AND noise <= 0.5 THEN 'primary_memory_card'
+    WHEN marked AND specificity < 0.6 THEN 'merge_into_existing_memory' WHEN related AND usefulness < 0.35 AND evidence < 0.5 THEN 'discard_duplicate' WHEN usefulness >= 0.45 THEN 'enriched_memory_card'
+    WHEN evidence >= 0.45 THEN 'low_quality_evidence' ELSE 'defer_until_more_context' END AS outcome FROM r"""
+
+
+@query("f26_storage_outcome", _OUTCOME_SQL)
 def _(spark, d):
-    return memories(spark, d).select("id", P.action_class(F.col("app")).alias("action"))
+    part, supp, useful = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_tax") * 12.5
+    insight = F.when(supp % 23 == 1, "shot 2024-05-06.png").when(supp % 23 == 2, "Captured recent activity in Editor").when(supp % 23 == 3, "Editor: editor open").otherwise("Editor was used to fix the parser")
+    r = {
+        "visual_failed": part % 31 == 0, "unavailable": part % 17 == 0, "grounding": F.when(part % 2 == 0, F.col("l_tax")), "weak_visual": part % 29 == 0, "related": F.col("l_linestatus") == "O",
+        "context": F.when(supp % 19 == 0, "a line\n  Reopen: notes").otherwise("a line"), "insight": insight, "app": F.lit("Editor"), "fingerprint": F.when(F.col("l_returnflag") == "R", "f:1").otherwise(" "),
+        "specificity": F.col("l_quantity") / 50, "intent": F.col("l_discount") * 10, "usefulness": useful, "noise": F.col("l_linenumber") / 7, "retrieval": useful, "evidence": F.col("l_discount") * 8,
+    }
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.storage_outcome(r).alias("outcome"))
 
 
-@query("f26_storage_outcome", "SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', '', 'g')) < 6 THEN 'discard' WHEN length(text) < 24 THEN 'defer' WHEN doc_id % 11 = 0 THEN 'merge_into_existing' WHEN n_chars >= 3000 THEN 'primary_memory' WHEN n_chars >= 1500 THEN 'enriched_memory' ELSE 'low_value' END AS outcome FROM documents")
+@query("f13_sensitive_context", "SELECT page_id, regexp_matches(lower(url || CASE page_id % 4 WHEN 0 THEN '/login' WHEN 1 THEN '/chase.com' ELSE '' END), '" + "|".join(w.replace(".", "[.]") for w in P.PASSWORD_MANAGERS + P.BANKING + P.MEDICAL + P.AUTH) + "') AS sensitive FROM pages")
 def _(spark, d):
-    x = table(spark, d, "documents")
-    return x.select("doc_id", P.storage_outcome(F.col("text"), F.lit(0.0), F.col("doc_id") % 11 == 0, F.col("n_chars") / 5000).alias("outcome"))
+    url = F.concat("url", F.when(F.col("page_id") % 4 == 0, "/login").when(F.col("page_id") % 4 == 1, "/chase.com").otherwise(""))
+    return table(spark, d, "pages").select("page_id", P.sensitive_context(F.lit(None).cast("string"), url).alias("sensitive"))
+
+
+@query("f16_policy_gate", "SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN false WHEN 1 THEN c_acctbal > 0 WHEN 2 THEN c_mktsegment = 'BUILDING' ELSE false END AS shared FROM customer")
+def _(spark, d):
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("disabled", "members", "opt_in", "unknown")]), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", P.policy_gate(mode, F.col("c_acctbal") > 0, F.col("c_mktsegment") == "BUILDING").alias("shared"))
 
 
 @query("f27_quality_issues")
@@ -391,10 +442,21 @@ def _(spark, d):
     return U.split_top(x, F.col("p_brand") == "Brand#2", "w", 50).select("id", "w")
 
 
-@query("k10_task_priority", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 40 WHEN 'P' THEN 20 ELSE 0 END + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * -5 AS priority FROM orders ORDER BY priority DESC, o_orderdate DESC, o_orderkey LIMIT 200")
+_PRIORITY_SQL = """WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT max(o_orderdate) AS now FROM orders)
+SELECT o_orderkey, greatest(0, least(96, 96 - CAST(floor((epoch_us(now) - epoch_us(o_orderdate)) / 3600000000) AS BIGINT))) + 4 * least(coalesce(n, 0), 10) + 2 * least(o_custkey % 8, 6) + CASE o_orderstatus WHEN 'O' THEN 12 ELSE 0 END
+    + CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 22 WHEN '2' THEN 16 WHEN '3' THEN 11 ELSE 6 END - CASE WHEN coalesce(n, 0) < 4 AND substr(o_orderpriority, 1, 1) NOT IN ('1', '2') THEN 18 ELSE 0 END - CASE WHEN o_totalprice < 50000 THEN 24 ELSE 0 END AS priority
+FROM orders LEFT JOIN n ON o_orderkey = l_orderkey, c"""
+
+
+@query("k10_task_priority", _PRIORITY_SQL)
 def _(spark, d):
-    score = F.when(F.col("o_orderstatus") == "O", 40).when(F.col("o_orderstatus") == "P", 20).otherwise(0) - 5 * F.substring("o_orderpriority", 1, 1).cast("int")
-    return table(spark, d, "orders").withColumn("priority", score).orderBy(F.desc("priority"), F.desc("o_orderdate"), "o_orderkey").limit(200).select("o_orderkey", "priority")
+    o = table(spark, d, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp_ntz"))
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    age = F.floor((T.micros(F.lit(latest(o))) - T.micros(F.col("ts"))) / 3_600_000_000)
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("manual", "meeting", "memory", "other", "other")]), F.substring("o_orderpriority", 1, 1).cast("int"))
+    linked = F.coalesce("n", F.lit(0))
+    score = U.task_priority(age, linked, F.col("o_custkey") % 8, F.col("o_orderstatus") == "O", kind, linked >= 4, F.col("o_totalprice") < 50000)
+    return o.join(n, "o_orderkey", "left").select("o_orderkey", score.cast("long").alias("priority"))
 
 
 @query("z03_sliding_dedup", M + ", p AS (SELECT id, us - lag(us) OVER (PARTITION BY session, app ORDER BY us, id) AS g FROM m) SELECT id FROM p WHERE g IS NULL OR g > 43200000000")

@@ -181,7 +181,7 @@ def _(spark, d):
     return R.entity_route(n, ["Fra"], {"place": 0.95}).select("id", F.round("score", 6).alias("score"))
 
 
-@query("r14_route_fusion", "WITH h AS (SELECT p_partkey AS id, 'vector' AS route, p_size / 50 AS score FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, 'keyword', 0.6 FROM part WHERE p_name LIKE '%ring%') SELECT id, round(sum(score * CASE route WHEN 'vector' THEN 0.4 ELSE 0.35 END), 6) AS score, round(max(score), 6) AS best, string_agg(DISTINCT route, ',' ORDER BY route) AS routes FROM h GROUP BY id ORDER BY sum(score * CASE route WHEN 'vector' THEN 0.4 ELSE 0.35 END) DESC, id LIMIT 50")
+@query("r14_route_fusion", "WITH h AS (SELECT p_partkey AS id, 'vector' AS route, p_size / 50 AS score FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, 'keyword', 0.6 FROM part WHERE p_name LIKE '%ring%') SELECT id, round(sum(score * CASE route WHEN 'vector' THEN 0.35 ELSE 0.3 END), 6) AS score, round(max(score), 6) AS best, string_agg(DISTINCT route, ',' ORDER BY route) AS routes FROM h GROUP BY id ORDER BY sum(score * CASE route WHEN 'vector' THEN 0.35 ELSE 0.3 END) DESC, id LIMIT 50")
 def _(spark, d):
     p = table(spark, d, "part")
     a = p.where("p_size > 25").select(F.col("p_partkey").alias("id"), F.lit("vector").alias("route"), (F.col("p_size") / 50).alias("score"))
@@ -189,11 +189,41 @@ def _(spark, d):
     return R.route_fusion(a.union(b), R.INTENT_WEIGHTS["lookup"]).select("id", F.round("score", 6).alias("score"), F.round("best", 6).alias("best"), "routes")
 
 
-@query("r18_verify")
+_FUSED_SQL = """f AS (SELECT p_partkey AS id, p_retailprice / 2500 AS score, p_size / 100 AS coverage, CASE p_size % 3 WHEN 0 THEN 'graph' WHEN 1 THEN 'graph,vector' ELSE 'keyword' END AS routes, p_size % 4 AS path FROM part),
+k AS (SELECT * FROM f WHERE contains(routes, 'graph') OR greatest(coverage, least(score, 1.0)) >= 0.3)"""
+_VERIFY_SQL = f"""WITH {_FUSED_SQL}, n AS (SELECT count(DISTINCT id) AS backers, count(*) AS kept, max(score) AS top, count(*) FILTER (WHERE routes = 'graph' AND path = 2) AS weak FROM k)
+SELECT 'grounded' AS status, '' AS missing, round(least(1.0, least(top, 1.0) * 0.8 + least(kept, 5) * 0.04) * CASE WHEN weak > 0 THEN 0.85 ELSE 1.0 END, 6) AS confidence FROM n
+UNION ALL SELECT 'partial', 'no decision evidence; no error evidence', NULL UNION ALL SELECT 'partial', 'no file evidence for a file-seeking query', NULL UNION ALL SELECT 'not_enough_evidence', 'no fused hits', NULL
+UNION ALL SELECT 'partial', 'only one memory backs the top result', NULL UNION ALL SELECT 'not_enough_evidence', 'all hits below confidence threshold', NULL"""
+
+
+@query("r18_verify", _VERIFY_SQL)
 def _(spark, d):
-    p = R.Profile(SEARCH)
-    docs = R.with_text(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text"), F.col("text"))
-    return R.verify(docs.withColumn("score", R.coverage(p, F.col("toks"))).orderBy(F.desc("score"), "id").limit(50), p)
+    routes = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("graph"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("graph"), F.lit("vector"))).otherwise(F.array(F.lit("keyword")))
+    f = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 2500).alias("score"), (F.col("p_size") / 100).alias("coverage"), routes.alias("routes"), (F.col("p_size") % 4).alias("path_nodes"))
+    weak = f.withColumns({"score": F.lit(0.1), "coverage": F.lit(0.1), "routes": F.array(F.lit("keyword"))})
+    cases = [R.verify(f, {}, {}), R.verify(f, {"decisions": True, "errors": True}, {}), R.verify(f, {"files": True, "errors": True}, {}), R.verify(f.limit(0), {}, {}), R.verify(f.withColumn("id", F.lit(1)), {}, {}), R.verify(weak, {}, {})]
+    out = cases[0]
+    for c in cases[1:]:
+        out = out.unionByName(c)
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+@query("l30_merge_allowed", "WITH s AS (SELECT p_partkey AS id, p_retailprice / 2000 AS score, p_size / 50 AS lexical, (p_partkey % 100) / 100 AS vector, p_partkey % 3 = 0 AS anchor FROM part) SELECT id, CASE WHEN anchor THEN score >= 0.58 AND lexical >= 0.18 ELSE (lexical >= 0.72 AND score >= 0.8) OR (score >= 0.86 AND vector >= 0.82 AND lexical >= 0.28) END AS merged, CASE WHEN anchor THEN lexical >= 0.24 AND score >= 0.46 ELSE lexical >= 0.66 AND score >= 0.74 END AS by_words FROM s")
+def _(spark, d):
+    score, lexical, vector, anchor = F.col("p_retailprice") / 2000, F.col("p_size") / 50, (F.col("p_partkey") % 100) / 100, F.col("p_partkey") % 3 == 0
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), R.merge_allowed(score, lexical, vector, anchor).alias("merged"), R.merge_allowed_by_words(score, lexical, anchor).alias("by_words"))
+
+
+_ASKED = {
+    "timeline of the release": "timeline", "pick up where I left off": "resume_work", "why did the build fail with a panic": "debug", "notes similar to this one": "related_to",
+    "what is a vector index": "definition", "how to rotate keys": "how_to", "invoice of march": "lookup",
+}
+
+
+@query("r02_planner_intent", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{i}')" for q, i in _ASKED.items()) + ") AS t(query, intent)")
+def _(spark, d):
+    return spark.createDataFrame([(q, R.plan(q)["intent"]) for q in _ASKED], "query string, intent string")
 
 
 @query("r20_token_budget", "SELECT doc_id AS id FROM (SELECT doc_id, sum(length(text)) OVER (ORDER BY n_chars DESC, doc_id) AS used FROM (SELECT * FROM documents WHERE text IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 40)) WHERE used <= 4 * 100000")
@@ -276,10 +306,18 @@ def _(spark, d):
     return G.ingest(memories(spark, d))[0].groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("g20_edge_aliases", f"WITH {_E} SELECT source, target, 'used_by' AS edge_type, 'related' AS kind FROM e")
+_EDGE_NAMES = [*G.EDGE_ALIASES, "DependsOn", "Contradicts", "EvidencedBy", "Strange"]
+_EDGE_SQL = f"""WITH e AS (SELECT p_partkey AS source, {_EDGE_NAMES}[p_partkey % {len(_EDGE_NAMES)} + 1] AS name FROM part),
+c AS (SELECT source, CASE name WHEN 'HasTopic' THEN 'MentionedIn' WHEN 'CausedError' THEN 'Causes' WHEN 'ResolvedError' THEN 'Resolves' WHEN 'MadeDecision' THEN 'CreatedBy' WHEN 'CreatedTodo' THEN 'CreatedBy' WHEN 'RelatedTo' THEN 'SimilarTo'
+    WHEN 'Before' THEN 'PrecededBy' WHEN 'After' THEN 'FollowedBy' WHEN 'VisitedUrl' THEN 'MentionedIn' WHEN 'UsesFile' THEN 'UsedIn' WHEN 'MentionsEntity' THEN 'MentionedIn' WHEN 'Strange' THEN NULL ELSE name END AS edge_type FROM e)
+SELECT source, edge_type, CASE WHEN edge_type IN ('CreatedBy', 'UsedIn', 'DependsOn') THEN 'structural' WHEN edge_type = 'SimilarTo' THEN 'semantic' WHEN edge_type IN ('Causes', 'PrecededBy', 'FollowedBy') THEN 'temporal' WHEN edge_type IN ('Resolves', 'Contradicts') THEN 'conflict' ELSE 'reference' END AS kind FROM c"""
+
+
+@query("g20_edge_aliases", _EDGE_SQL)
 def _(spark, d):
-    e = G.canonical_edges(graph(spark, d)[1])
-    return e.select("source", "target", "edge_type", G.edge_kind(F.col("edge_type")).alias("kind"))
+    name = F.element_at(F.array(*[F.lit(n) for n in _EDGE_NAMES]), (F.col("p_partkey") % len(_EDGE_NAMES) + 1).cast("int"))
+    e = G.canonical_edges(table(spark, d, "part").select(F.col("p_partkey").alias("source"), name.alias("edge_type")))
+    return e.select("source", "edge_type", G.edge_kind(F.col("edge_type")).alias("kind"))
 
 
 @query("g13_delete_nodes", f"WITH {_E} SELECT source, target FROM e WHERE target <> 3 AND source NOT IN (SELECT 1000000 + c_custkey FROM customer WHERE c_acctbal < 0) AND target NOT IN (SELECT 1000000 + c_custkey FROM customer WHERE c_acctbal < 0)")

@@ -88,6 +88,7 @@ def test_profile():
 
 
 def test_plan_refinement():
-    base = R.plan("how are Alpha and Beta related")
-    assert base["intent"] == "graph" and base["hops"] == 2 and base["hints"] == ["Alpha", "Beta"]
+    base = R.plan("notes related to Alpha and Beta")
+    assert base["intent"] == "related_to" and base["hops"] == 2 and base["hints"] == ["Alpha", "Beta"] and base["routes"] == ["chunk", "vector", "keyword", "entity", "graph"]
+    assert R.plan("continue the parser", "atlas")["seeds"] == ["Project", "Session", "Memory", "Task"] and R.plan("debug it", "atlas")["seeds"][-1] == "Project"
     assert R.refined(base, {"hops": 9, "window": None, "other": 1}) == base
