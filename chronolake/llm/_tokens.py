@@ -16,18 +16,16 @@ import numpy as np
 from . import _text as T
 
 _MOST_SLOTS = 1 << 23
-_LONG = 96  # longer segments are encoded anew each time
 
 
 class Encoder:
-    """Encodes batches; keeps the ids of the segments seen so far. Strings of special tokens in a text are ordinary text."""
+    """Encodes batches as the library does by default; keeps the ids of the segments seen so far. No special token holds white space, so none crosses a segment."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one worker, one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.size = self.tok.get_vocab_size()
         self.reset(1 << 18)
 

@@ -11,6 +11,8 @@ query and Spark ranks those.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,14 +23,20 @@ from ._work import stored
 
 SCALE, TOP, EVERY = 64, 20, 20
 BLOCK_ROWS, CHUNK_QUERIES = 16384, 256
-_LIMIT = 1 << 24  # quantised components beyond it saturate
 
 _INDEX = "blk long, dim int, ids binary, low binary, width binary, slices binary"
 _CHUNK = "chunk long, dim int, ids binary, q binary"
 
 
 def quantise(vectors: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(SCALE * vectors.astype(np.float64)), -_LIMIT, _LIMIT).astype(np.int64)
+    """Whole numbers; beyond ``limit`` of the dimension, where a score need not fit a long, they saturate."""
+    most = limit(vectors.shape[1])
+    return np.clip(np.floor(SCALE * vectors.astype(np.float64)), -most, most).astype(np.int64)
+
+
+def limit(dim: int) -> int:
+    """The largest component for which sums over slices of all ``dim`` attributes fit 63 bits."""
+    return math.isqrt((1 << 60) // max(1, dim))
 
 
 def _matrix(table: pa.Table):
@@ -174,7 +182,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int = B
     null or a non-finite component takes no part, nor does a row without vec_id;
     only vectors of one length meet. Rows of the query's own vec_id are its own.
     Repeated rows are candidates each; a query row that occurs twice is answered
-    twice. Quantised components saturate at 2**24. Fewer than k candidates: all.
+    twice. Scores are exact for quantised components up to ``limit(dim)``, 134,217,728
+    at 64 attributes; beyond, where a score need not fit a long, components saturate.
+    Fewer than k candidates: all.
     """
     spark = rows.sparkSession
     ship(spark)

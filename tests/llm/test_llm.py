@@ -102,6 +102,12 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.keep_good(docs, np.zeros((1 << quality.BITS) + 1), 0.4).columns == docs.columns
 
 
+def test_top_k_of_large_components(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [400_000.0, 0.0]), (2, [500_000.0, -3e6]), (3, [-7e6, 1.0])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r["rank"], r.score) for r in topk_bsi.top_k(df, df.where("vec_id = 0")).collect()}
+    assert got == {2: (1, 64 * 64 * 500_000), 1: (2, 64 * 64 * 400_000), 3: (3, -64 * 64 * 7_000_000)}
+
+
 def brute_top(rows, k):
     x = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and len(v) and all(e is not None and np.isfinite(e) for e in v)]
     for i, q in x:
@@ -178,8 +184,7 @@ def test_encoder_equals_the_library(path, spark, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    odd = ["", " ", "  a", "a  b", "x \n y", "é  b", "it's  don't\n\nx", "trail ", "a\tb", "日本 語", "<|endoftext|> hi", "é ́x", "a\r\nb", "x\x85 y", "İ Σ", "　 　a b"]
+    odd = ["", " ", "  a", "a  b", "x \n y", "é  b", "it's  don't\n\nx", "trail ", "a\tb", "日本 語", "<|endoftext|> hi", "hi <|endoftext|> there", "x<|startoftext|>y  <|endoftext|>\nz", "é ́x", "a\r\nb", "x\x85 y", "İ Σ", "　 　a b"]
     texts = odd + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     e = _tokens.Encoder(path)
     data, off = T.buffers(pa.array(texts))
