@@ -40,8 +40,23 @@ OTHER = ["nav", "aside", "footer", "header", "form", "div class=ad", "div class=
 _CONTENT_WORDS = {w for x in CONTENT for w in re.split(r"[ =]", x)} - {"div", "section", "class", "id", "role"}
 _OTHER_WORDS = ({w for x in OTHER for w in re.split(r"[ =]", x)} - {"div", "section", "ul", "class", "id", "role"}) | {"ads", "advertisement", "button", "select", "nav", "cookie", "menu", "comment-list"}
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# a quote opens a value only after "="; what never closes ends with the page, so no part is read twice
+_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+_ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NESTING = {"svg", "math", "template"}  # raw elements that may hold their own kind
+
+
+def _raw_end(page: str, at: int, tag: str) -> int:
+    """Where the raw element whose content starts at ``at`` ends."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag in NESTING and not m[0].endswith("/>"):
+            depth += 1
+        if depth == 0:
+            return m.end()
+    return len(page)
 
 
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
@@ -87,8 +102,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if not (tag in NESTING and m[3].endswith("/")):
+                at = _raw_end(page, at, tag)
             continue
         if tag in INLINE:
             if tag == "br":
@@ -110,6 +125,9 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     return found
 
 
+CELLS = 16_384  # padded blocks that are labelled together
+
+
 def teacher(path: tuple[str, ...]) -> int:
     words = {w.partition("=")[2] or w for w in path}
     inside = bool(words & _CONTENT_WORDS)
@@ -174,7 +192,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(w, v, x, mask):
+def _lstm(w, v, x, mask, learn=True):
     """x: (steps, pages, d). Hidden states and what the backward pass needs."""
     steps, pages, _ = x.shape
     h, c, keep = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32), []
@@ -189,7 +207,8 @@ def _lstm(w, v, x, mask):
         c2 = np.where(on, f * c + i * a, c)
         tc = np.tanh(c2)
         h2 = np.where(on, o * tc, h)
-        keep.append((h, c, i, f, o, a, tc, on))
+        if learn:
+            keep.append((h, c, i, f, o, a, tc, on))
         h, c = h2, c2
         out[t] = h
     return out, keep
@@ -232,16 +251,20 @@ def _grid(x, sizes):
 
 
 def predict(m, pages) -> list[np.ndarray]:
-    """Probability of content for each block of each page (a page: its blocks); pages of like length go together."""
+    """Probability of content for each block of each page (a page: its blocks); pages of like length go together, at most CELLS padded blocks or one page."""
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-    for at in range(0, len(order), 64):
-        part = order[at : at + 64]
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < 64 and (end + 1 - at) * len(pages[order[end]]) <= CELLS:
+            end += 1
+        part, at = order[at:end], end
         sizes = np.array([len(pages[i]) for i in part])
         x = _embed(m, inputs([pages[i] for i in part]))
         f, b, mask, step, back, page = _grid(x, sizes)
-        hf, _ = _lstm(m["wf"], m["vf"], f, mask)
-        hb, _ = _lstm(m["wb"], m["vb"], b, mask)
+        hf, _ = _lstm(m["wf"], m["vf"], f, mask, False)
+        hb, _ = _lstm(m["wb"], m["vb"], b, mask, False)
         p = _sigmoid(np.concatenate([hf[step, page], hb[back, page]], axis=1) @ m["out"] + m["bias"])
         for i, z in zip(part, np.split(p, np.cumsum(sizes)[:-1])):
             out[i] = z

@@ -445,6 +445,24 @@ def test_extraction_of_odd_pages(spark):
     assert len(got) == 6 and {r.text for r in got if r.page_id in (1, 2, 3)} == {""}
 
 
+def test_blocks_of_odd_tags():
+    text = lambda page: [b[0] for b in html_extract.blocks(page)]
+    assert text("<article><p class=it's>One text</p><p>don't</p><p>last</p>") == ["One text", "don't", "last"]
+    assert text("<p title=Bob's>a</p><p title='x>y' class=\"c\">b</p>") == ["a", "b"]
+    assert text("<svg><svg>in</svg>x</svg><p>out</p><svg/><p>more</p>") == ["out", "more"]
+    assert text("<p>end</p><a href='never closed") == ["end"]
+
+
+def test_long_and_broken_pages_take_linear_work():
+    import time
+
+    began = time.perf_counter()
+    assert len(html_extract.blocks("<p>a b</p>" * 100_000)) == 100_000
+    html_extract.blocks("<a href='x " * 40_000)
+    html_extract.blocks('<p class="' * 40_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_blocks():
     got = html_extract.blocks('<div class="ad big">x &lt; y<br>z</div><ul><li><a href=#>One</a><li>Two</ul><p>a<p>b<!-- c --><style>p{}</style>')
     assert [(t, p) for t, p, _ in got] == [("x < y z", ("div", "class=ad", "class=big")), ("One", ("ul", "li")), ("Two", ("ul", "li")), ("a", ("p",)), ("b", ("p",))]
