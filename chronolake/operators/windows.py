@@ -108,10 +108,22 @@ def runs_of(df: DataFrame, flag: Column, key: str, least: int) -> DataFrame:
     return df.withColumn("_f", flag.cast("int")).withColumn("_s", F.sum("_f").over(before)).withColumn("_c", F.count("*").over(before)).where(f"_s = {least} AND _c = {least}").drop("_f", "_s", "_c")
 
 
+def islands(df: DataFrame, key: list[str], span_us: int) -> DataFrame:
+    """df with _part, the day (since 1970) on which the row's island begins: a row more than ``span_us`` after its key's row before begins one.
+
+    A rule that lets a row join its group's first row within that span never joins
+    rows of two islands, so the islands that begin on a day can be worked alone.
+    """
+    w = Window.partitionBy(*key).orderBy("us", "id")
+    gap = F.col("us") - F.lag("us").over(w)
+    start = F.when(F.coalesce(gap > span_us, F.lit(True)), F.col("us"))
+    return df.withColumn("_start", start).withColumn("_part", F.floor(F.last("_start", ignorenulls=True).over(w) / 86_400_000_000)).drop("_start")
+
+
 def anchored_groups(df: DataFrame, key: str, minutes: int = 5) -> DataFrame:
     """Greedy groups by key, newest first: a row joins while it is within ``minutes`` of the group's first row.
 
-    Sequential by nature, so a key and day are worked by one pandas call; groups do not cross days.
+    One pandas call works the islands of a key that begin on one day, also past midnight; group_no counts inside part.
     """
 
     def f(pdf):
@@ -122,10 +134,11 @@ def anchored_groups(df: DataFrame, key: str, minutes: int = 5) -> DataFrame:
                 anchor, no = us, no + 1
             out.append(no)
         pdf["group_no"] = out
-        return pdf[["id", key, "day", "group_no"]]
+        return pdf[["id", key, "part", "group_no"]]
 
     fields = dict(df.dtypes)
-    return df.select("id", key, "day", "us").groupBy(key, "day").applyInPandas(f, f"id {fields['id']}, {key} {fields[key]}, day date, group_no long")
+    rows = islands(df.select("id", key, "us"), [key], minutes * 60_000_000).withColumnRenamed("_part", "part")
+    return rows.groupBy(key, "part").applyInPandas(f, f"id {fields['id']}, {key} {fields[key]}, part long, group_no long")
 
 
 def switch_alerts(df: DataFrame, key: str, ring: int = 15, least_rows: int = 8, least_distinct: int = 6) -> DataFrame:

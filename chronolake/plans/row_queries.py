@@ -464,9 +464,13 @@ def _(spark, d):
     return B.sliding_dedup(memories(spark, d), ["session", "app"], 43_200).select("id")
 
 
-@query("z04_tumbling_dedup")
+_TUMBLING_SQL = M.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + """, u AS (SELECT session, us, min(id) AS id FROM m GROUP BY 1, 2), nxt AS (SELECT session, us, min(us) OVER (PARTITION BY session ORDER BY us RANGE BETWEEN 3600000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_us FROM u),
+g AS (SELECT session, min(us) AS us FROM m GROUP BY session UNION ALL SELECT nxt.session, nxt.next_us FROM g JOIN nxt ON g.session = nxt.session AND g.us = nxt.us WHERE next_us IS NOT NULL) SELECT u.id FROM g JOIN u USING (session, us)"""
+
+
+@query("z04_tumbling_dedup", _TUMBLING_SQL)
 def _(spark, d):
-    return B.tumbling_dedup(memories(spark, d).select("id", "us", "day", "session"), ["session"], 3600).select("id")
+    return B.tumbling_dedup(memories(spark, d).select("id", "us", "session"), ["session"], 3600).select("id")
 
 
 @query("z08_merged_records", M + "SELECT session, min(us) AS first_us, max(us) AS last_us, count(*) AS n, arg_max(app, (us, id)) AS app, max(value) AS value FROM m GROUP BY session")

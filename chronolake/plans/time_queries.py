@@ -216,10 +216,15 @@ def _(spark, d):
     return s.groupBy("session_no").agg(F.count("*").alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.min("app").alias("app"))
 
 
-@query("w05_anchored_groups")
+_ANCHOR_SQL = M.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + """, u AS (SELECT DISTINCT app, us FROM m), nxt AS (SELECT app, us, max(us) OVER (PARTITION BY app ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 300000001 PRECEDING) AS next_us FROM u),
+g AS (SELECT app, max(us) AS us FROM m GROUP BY app UNION ALL SELECT nxt.app, nxt.next_us FROM g JOIN nxt ON g.app = nxt.app AND g.us = nxt.us WHERE next_us IS NOT NULL),
+n AS (SELECT app, count(*) AS n FROM m GROUP BY app) SELECT app, count(*) AS groups, n FROM g JOIN n USING (app) GROUP BY app, n"""
+
+
+@query("w05_anchored_groups", _ANCHOR_SQL)
 def _(spark, d):
-    g = W.anchored_groups(memories(spark, d).select("id", "us", "day", "app"), "app", 30)
-    return g.groupBy("app", "day").agg((F.max("group_no") + 1).alias("groups"), F.count("*").alias("n"))
+    g = W.anchored_groups(memories(spark, d).select("id", "us", "app"), "app", 5)
+    return g.groupBy("app").agg(F.countDistinct("part", "group_no").alias("groups"), F.count("*").alias("n"))
 
 
 @query("w06_split_groups", M + ", p AS (SELECT session, id, us, CASE WHEN abs(value - lag(value) OVER o) > 20 AND app <> lag(app) OVER o THEN 1 ELSE 0 END AS cut FROM m WINDOW o AS (PARTITION BY session ORDER BY us, id)) SELECT session, CAST(1 + sum(cut) AS BIGINT) AS parts FROM p GROUP BY session")
