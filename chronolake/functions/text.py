@@ -39,14 +39,14 @@ def tokens(c: Column, least: int = 3) -> Column:
 
 
 def trim_to(c: Column, n: int) -> Column:
-    """At most n characters; a cut text ends in an ellipsis."""
-    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, max(0, n - 1))), F.lit("…")))
+    """At most n characters; a cut text ends in three dots (alone, where n is under three)."""
+    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, max(0, n - 3)), F.lit("...")))
 
 
 def drop_middle(c: Column) -> Column:
-    """The word without its middle character, for words of five or more."""
+    """The word without its middle character; words of up to three stay."""
     mid = F.floor(F.length(c) / 2).cast("int")
-    return F.when(F.length(c) >= 5, F.concat(F.substring(c, F.lit(1), mid), F.substring(c, mid + 2, F.length(c))))
+    return F.when(F.length(c) <= 3, c).otherwise(F.concat(F.substring(c, F.lit(1), mid), F.substring(c, mid + 2, F.length(c))))
 
 
 def prefix(c: Column, n: int) -> Column:
@@ -59,9 +59,9 @@ def char_ngrams(c: Column, n: int) -> Column:
 
 
 def stem(c: Column) -> Column:
-    """Suffix stemmer: ies to y, then ing, ed, es, s, each with a least length."""
-    n = F.length(c)
-    cut = lambda k: F.substring(c, F.lit(1), n - k)
+    """Suffix stemmer: ies to y, then ing, ed, es, s, each with a least length (in bytes)."""
+    n = F.octet_length(c)
+    cut = lambda k: F.substring(c, F.lit(1), F.length(c) - k)
     return (
         F.when((n > 4) & c.endswith("ies"), F.concat(cut(3), F.lit("y")))
         .when((n > 5) & c.endswith("ing"), cut(3))
@@ -73,8 +73,9 @@ def stem(c: Column) -> Column:
 
 
 def singular(c: Column) -> Column:
-    n = F.length(c)
-    return F.when((n > 3) & c.endswith("ies"), F.concat(F.substring(c, F.lit(1), n - 3), F.lit("y"))).when((n > 3) & c.endswith("s") & ~c.endswith("ss"), F.substring(c, F.lit(1), n - 1)).otherwise(c)
+    """ies to y in words over four bytes, else without a last s in words over three."""
+    n, cut = F.octet_length(c), lambda k: F.substring(c, F.lit(1), F.length(c) - k)
+    return F.when((n > 4) & c.endswith("ies"), F.concat(cut(3), F.lit("y"))).when((n > 3) & c.endswith("s"), cut(1)).otherwise(c)
 
 
 def plural(c: Column) -> Column:
@@ -145,8 +146,16 @@ def merge_story(a: Column, b: Column, most: int = 4000) -> Column:
 
 
 def named_entities(c: Column) -> Column:
-    """Distinct capitalised words of three or more letters, in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("\\b(\\p{Lu}[\\p{L}\\p{N}]{2,})")), lambda x: F.lower(x)))
+    """Distinct words of over two bytes, without marks at their ends, that begin with a capital; in lower case."""
+    long = lambda x: F.octet_length(x) > 2
+    bare = F.transform(F.filter(F.split(c, "\\s+"), long), lambda x: F.regexp_replace(x, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", ""))
+    return F.array_distinct(F.transform(F.filter(bare, lambda x: long(x) & x.rlike("^\\p{Lu}")), lambda x: F.lower(x)))
+
+
+def named_entity_overlap(query: Column, text: Column) -> Column:
+    """How many of the query's named entities stand in the text."""
+    low = F.lower(text)
+    return F.size(F.filter(named_entities(query), lambda x: low.contains(x)))
 
 
 def line_quality(c: Column) -> Column:

@@ -58,8 +58,10 @@ def fitted(a: Column, dim: int) -> Column:
     return F.when(F.size(a) == dim, a).otherwise(F.array_repeat(F.lit(0.0).cast("float"), dim))
 
 
-def low_signal(a: Column, least: float = 1e-3) -> Column:
-    return norm(a) < least
+def low_signal(a: Column, least: float = 1e-6) -> Column:
+    """No vector, an empty one, one with a null or non-finite component, or a norm of at most ``least``."""
+    odd = F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(a) == 0) | odd | (norm(a) <= least), F.lit(True))
 
 
 def mean_pool(vectors: Column, dim: int) -> Column:

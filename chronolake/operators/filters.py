@@ -48,9 +48,19 @@ def blocked_context(title: Column, url: Column, blocklist: list[str]) -> Column:
     return reduce(lambda x, y: x | y, [one(b.lower()) for b in blocklist if b.strip()], F.lit(False))
 
 
+# What marks the pages of a bank.
+SENSITIVE = ["chase.com", "bankofamerica", "wellsfargo", "citibank", "capitalone", "usbank", "fidelity", "vanguard", "schwab", "americanexpress", "discover.com", "online banking", "sign in - bank", "login - bank"]
+
+
 def sensitive_context(title: Column, url: Column) -> Column:
-    both = F.lower(F.concat_ws(" ", title, url))
-    return X.contains_any(both, PASSWORD_MANAGERS + BANKING + MEDICAL + AUTH)
+    """Title or url holds a mark of a bank's pages."""
+    return X.contains_any(F.lower(F.coalesce(title, F.lit(""))), SENSITIVE) | X.contains_any(F.lower(F.coalesce(url, F.lit(""))), SENSITIVE)
+
+
+def own_app(app: Column, bundle: Column, own: str) -> Column:
+    """The engine's own app by name (but for its meetings) or by a part of its bundle id."""
+    a, b = F.lower(F.trim(app)), F.lower(F.trim(F.coalesce(bundle, F.lit(""))))
+    return (a.startswith(own) & ~a.contains("meeting")) | (b == f"com.{own}") | b.startswith(f"com.{own}.") | b.endswith(f".{own}") | b.contains(f".{own}.")
 
 
 def private_row(app: Column, title: Column, url: Column, own: list[str], apps: list[str], contexts: list[str]) -> Column:
@@ -75,8 +85,9 @@ def share_class(blob: Column, blocked: Column | None = None, private_mode: bool
     return out.when(X.contains_any(b, SHARE_LOCAL), "LOCAL_ONLY").otherwise("SHARED_ANON")
 
 
-def policy_gate(mode: Column, member: Column, opted_in: Column) -> Column:
-    return F.when(mode == "disabled", False).when(mode == "members", member).when(mode == "opt_in", opted_in).otherwise(False)
+def policy_gate(mode: Column, decision: Column, opted_in: Column) -> Column:
+    """Only what is shared anonymously goes out: never, for members, or where the user opted in."""
+    return F.coalesce((decision == "shared_anon") & F.when(mode == "members", True).when(mode == "opt_in", opted_in).otherwise(False), F.lit(False))
 
 
 def surface_policy(app: Column, url: Column) -> Column:

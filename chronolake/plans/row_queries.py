@@ -215,16 +215,80 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.storage_outcome(r).alias("outcome"))
 
 
-@query("f13_sensitive_context", "SELECT page_id, regexp_matches(lower(url || CASE page_id % 4 WHEN 0 THEN '/login' WHEN 1 THEN '/chase.com' ELSE '' END), '" + "|".join(w.replace(".", "[.]") for w in P.PASSWORD_MANAGERS + P.BANKING + P.MEDICAL + P.AUTH) + "') AS sensitive FROM pages")
+@query("f12_own_app", "SELECT p_partkey, starts_with(p_name, 'cold') AND NOT contains(lower(p_type), 'promo') OR p_size % 5 IN (0, 1, 2, 3) AS own FROM part")
 def _(spark, d):
-    url = F.concat("url", F.when(F.col("page_id") % 4 == 0, "/login").when(F.col("page_id") % 4 == 1, "/chase.com").otherwise(""))
-    return table(spark, d, "pages").select("page_id", P.sensitive_context(F.lit(None).cast("string"), url).alias("sensitive"))
+    app = F.concat(F.lit(" "), F.initcap("p_name"), F.when(F.lower("p_type").contains("promo"), " Meeting").otherwise(""))
+    bundle = F.element_at(F.array(*[F.lit(x) for x in ("com.cold", "COM.cold.helper", "org.cold", "a.cold.b", "com.coldest")]), F.col("p_size") % 5 + 1)
+    return table(spark, d, "part").select("p_partkey", P.own_app(app, bundle, "cold").alias("own"))
 
 
-@query("f16_policy_gate", "SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN false WHEN 1 THEN c_acctbal > 0 WHEN 2 THEN c_mktsegment = 'BUILDING' ELSE false END AS shared FROM customer")
+@query("f13_sensitive_context", "SELECT page_id, regexp_matches(lower(url || CASE page_id % 4 WHEN 0 THEN '/login' WHEN 1 THEN '/Chase.com' ELSE '' END), '" + "|".join(w.replace(".", "[.]") for w in P.SENSITIVE) + "') OR page_id % 6 = 0 AS sensitive FROM pages")
+def _(spark, d):
+    url = F.concat("url", F.when(F.col("page_id") % 4 == 0, "/login").when(F.col("page_id") % 4 == 1, "/Chase.com").otherwise(""))
+    return table(spark, d, "pages").select("page_id", P.sensitive_context(F.when(F.col("page_id") % 6 == 0, "Online Banking"), url).alias("sensitive"))
+
+
+@query("f16_policy_gate", "SELECT c_custkey, c_acctbal > 0 AND CASE c_nationkey % 4 WHEN 1 THEN true WHEN 2 THEN c_mktsegment = 'BUILDING' ELSE false END AS shared FROM customer")
 def _(spark, d):
     mode = F.element_at(F.array(*[F.lit(m) for m in ("disabled", "members", "opt_in", "unknown")]), (F.col("c_nationkey") % 4 + 1).cast("int"))
-    return table(spark, d, "customer").select("c_custkey", P.policy_gate(mode, F.col("c_acctbal") > 0, F.col("c_mktsegment") == "BUILDING").alias("shared"))
+    return table(spark, d, "customer").select("c_custkey", P.policy_gate(mode, F.when(F.col("c_acctbal") > 0, "shared_anon").otherwise("local"), F.col("c_mktsegment") == "BUILDING").alias("shared"))
+
+
+@query("f31_back_filled", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS v, 'en' AS lang FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("v"))
+    return P.back_filled(c, {"v": F.lit(0.0), "lang": F.lit("en")})
+
+
+@query("s05_ids_of_filter", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 100000")
+def _(spark, d):
+    return S.scan(spark, f"{d}/orders.parquet", (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") >= 100000), ["o_orderkey"]).withColumnRenamed("o_orderkey", "id")
+
+
+@query("t05_trimmed", "SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 77) || '...' END AS short FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.trim_to(F.col("text"), 80).alias("short"))
+
+
+_TURN_WORDS = f"WITH x AS (SELECT conv_id, turn, list_filter(string_split({norm_sql('text')}, ' '), lambda w: w <> '') AS w FROM conversations WHERE text IS NOT NULL), v AS (SELECT DISTINCT unnest(w) AS word FROM x)"
+
+
+def turn_words(spark, d):
+    return table(spark, d, "conversations").where("text is not null").select(F.explode(X.words(F.col("text"))).alias("word")).distinct()
+
+
+@query("t06_word_pieces", _TURN_WORDS + "SELECT word, CASE WHEN length(word) <= 3 THEN word ELSE left(word, length(word) // 2) || substr(word, length(word) // 2 + 2) END AS shorter, coalesce(array_to_string(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3)), ' '), '') AS grams FROM v")
+def _(spark, d):
+    word = F.col("word")
+    return turn_words(spark, d).select("word", X.drop_middle(word).alias("shorter"), F.array_join(X.char_ngrams(word, 3), " ").alias("grams"))
+
+
+@query("t07_singular", _TURN_WORDS + "SELECT word, CASE WHEN strlen(word) > 4 AND word LIKE '%ies' THEN left(word, length(word) - 3) || 'y' WHEN strlen(word) > 3 AND word LIKE '%s' THEN left(word, length(word) - 1) ELSE word END AS one FROM v")
+def _(spark, d):
+    return turn_words(spark, d).select("word", X.singular(F.col("word")).alias("one"))
+
+
+@query("l10_stems", _TURN_WORDS + """SELECT word, CASE WHEN strlen(word) > 4 AND word LIKE '%ies' THEN left(word, length(word) - 3) || 'y' WHEN strlen(word) > 5 AND word LIKE '%ing' THEN left(word, length(word) - 3)
+WHEN strlen(word) > 4 AND (word LIKE '%ed' OR word LIKE '%es') THEN left(word, length(word) - 2) WHEN strlen(word) > 3 AND word LIKE '%s' THEN left(word, length(word) - 1) ELSE word END AS stem FROM v""")
+def _(spark, d):
+    return turn_words(spark, d).select("word", X.stem(F.col("word")).alias("stem"))
+
+
+@query("w15_bigrams", _TURN_WORDS + "SELECT conv_id, turn, coalesce(array_to_string(list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))), '|'), '') AS pairs FROM x")
+def _(spark, d):
+    c = table(spark, d, "conversations").where("text is not null")
+    return c.select("conv_id", "turn", F.array_join(F.array_sort(X.bigrams(X.words(F.col("text")))), "|").alias("pairs"))
+
+
+@query("l26_entity_overlap", r"""WITH x AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), e AS (
+SELECT conv_id, turn, before, list_distinct(list_transform(list_filter(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: strlen(t) > 2),
+  lambda t: regexp_replace(t, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: strlen(t) > 2 AND regexp_matches(t, '^\p{Lu}')), lambda t: lower(t))) AS names FROM x WHERE text IS NOT NULL AND before IS NOT NULL)
+SELECT conv_id, turn, len(names) AS names, len(list_filter(names, lambda n: contains(lower(before), n))) AS shared FROM e""")
+def _(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").withColumn("before", F.lag("text").over(w)).where("text is not null AND before is not null")
+    names = F.size(X.named_entities(F.col("text"))).cast("long")
+    return c.select("conv_id", "turn", names.alias("names"), X.named_entity_overlap(F.col("text"), F.col("before")).cast("long").alias("shared"))
 
 
 @query("f27_quality_issues")

@@ -60,6 +60,13 @@ def _(spark, d):
     return n.select("label", F.round(F.col("x0") / F.col("n"), 6).alias("first"))
 
 
+@query("v12_low_signal", "SELECT vec_id AS id, vec_id % 5 < 3 AS low FROM embeddings")
+def _(spark, d):
+    id, e = F.col("id"), F.col("embedding").cast("array<double>")
+    odd = F.when(id % 5 == 0, F.transform(e, lambda x: x * 1e-9)).when(id % 5 == 1, F.array_append(e, F.lit(float("nan")))).when(id % 5 == 2, F.slice(e, 1, 0)).otherwise(e)
+    return vectors(spark, d).select("id", V.low_signal(odd).alias("low"))
+
+
 @query("v11_fitted", "SELECT vec_id AS id, CASE WHEN len(embedding) = 64 THEN 64 ELSE 32 END AS n FROM embeddings")
 def _(spark, d):
     return vectors(spark, d).select("id", F.size(V.fitted(F.col("embedding"), 64)).alias("n"))
