@@ -24,8 +24,8 @@ def normalise_ascii(c: Column) -> Column:
 
 
 def alias_key(c: Column) -> Column:
-    """Key of an alias: keeps letters, digits and . _ - / #, all else becomes ':'."""
-    return F.trim(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9._/#-]+", ":"))
+    """Key of an alias: keeps letters, digits and / . _ -; what is between them becomes one ':', none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^\\p{L}\\p{N}/._-]+", ":"), "^:|:$", "")
 
 
 def words(c: Column) -> Column:

@@ -12,6 +12,11 @@ def domain(c: Column) -> Column:
     return F.regexp_replace(host, "^www\\.", "")
 
 
+def page_key(c: Column) -> Column:
+    """The url in lower case without http scheme, query, fragment and last slashes: equal for one page."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "^https?://", ""), "[?#].*$", ""), "/+$", "")
+
+
 def host_simple(c: Column) -> Column:
     """What stands between :// and the next slash."""
     return F.regexp_extract(c, "^[^:]+://([^/]+)", 1)

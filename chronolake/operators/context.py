@@ -196,3 +196,12 @@ def key_values(changes: DataFrame) -> DataFrame:
     """Keyed state: the last payload of each key; a null payload deletes it. changes: key, payload, us."""
     last = changes.groupBy("key").agg(F.max_by(F.struct("payload", "us"), F.struct("us", F.col("payload"))).alias("r"))
     return last.where("r.payload is not null").select("key", "r.payload", F.col("r.us").alias("us"))
+
+
+def open_issues(events: DataFrame, limit: int = 5) -> DataFrame:
+    """The first ``limit`` issues that events name, each as its first event has it. events: us, id, summary, outcome, entities of (kind, key, name)."""
+    named = events.select("us", "id", "summary", "outcome", F.posexplode("entities").alias("at", "e")).where("e.kind = 'issue'")
+    status = F.when(F.col("outcome") == "succeeded", "resolved").otherwise("open")
+    rows = named.select("us", "id", "at", F.col("e.key").alias("issue"), F.col("e.name").alias("title"), X.trim_to(F.col("summary"), 140).alias("summary"), status.alias("status"))
+    first = rows.groupBy("issue").agg(F.min_by(F.struct("us", "id", "at", "title", "summary", "status"), F.struct("us", "id", "at")).alias("r"))
+    return first.orderBy("r.us", "r.id", "r.at").limit(limit).select("issue", "r.title", "r.summary", "r.status")

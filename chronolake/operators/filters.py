@@ -87,7 +87,16 @@ def share_class(blob: Column, blocked: Column | None = None, private_mode: bool
 
 def policy_gate(mode: Column, decision: Column, opted_in: Column) -> Column:
     """Only what is shared anonymously goes out: never, for members, or where the user opted in."""
-    return F.coalesce((decision == "shared_anon") & F.when(mode == "members", True).when(mode == "opt_in", opted_in).otherwise(False), F.lit(False))
+    return F.coalesce((decision == "SHARED_ANON") & F.when(mode == "members", True).when(mode == "opt_in", opted_in).otherwise(False), F.lit(False))
+
+
+def too_noisy(noise: Column, most: float = 0.97) -> Column:
+    return noise > most
+
+
+def nav_heavy(nav: Column, signal: Column) -> Column:
+    """A page that is mostly navigation and has hardly any content."""
+    return (nav > 0.58) & (signal < 0.18)
 
 
 def surface_policy(app: Column, url: Column) -> Column:

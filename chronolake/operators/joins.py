@@ -91,3 +91,8 @@ def with_reasons(evidence: DataFrame, selected: DataFrame, private: Column, cap:
     x = evidence.join(selected.withColumn("_s", F.lit(True)), "id", "left").withColumn("reason", F.when(F.col("_s").isNull(), "not_selected").when(private, "private"))
     w = Window.partitionBy(F.col("reason").isNull(), "source").orderBy(F.desc("score"), "id")
     return x.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(w) <= cap, "kept").otherwise("over_cap"))).select("id", "reason")
+
+
+def children(df: DataFrame, parent: str, ids: DataFrame) -> DataFrame:
+    """The direct children of the rows in ids (id); rows without parent are no one's."""
+    return df.join(ids.select(F.col("id").alias(parent)).distinct(), parent, "left_semi")

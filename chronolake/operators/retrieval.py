@@ -439,6 +439,19 @@ def merge_allowed_by_words(score: Column, lexical: Column, anchor: Column) -> Co
     return F.when(anchor, (lexical >= 0.24) & (score >= 0.46)).otherwise((lexical >= 0.66) & (score >= 0.74))
 
 
+def cross_app_merge(apart_us: Column, url: Column, other: Column, lexical: Column, vector: Column, anchor: Column) -> Column:
+    """Within 45 minutes: one page, or one domain and alike by anchor and words, or by vector and words."""
+    alike = (anchor & (lexical >= 0.52)) | ((vector >= 0.93) & (lexical >= 0.70))
+    site = (L.domain(url) == L.domain(other)) & (L.domain(url) != "")
+    return F.coalesce((F.abs(apart_us) <= 45 * 60 * 1_000_000) & ((L.page_key(url) == L.page_key(other)) | (site & alike)), F.lit(False))
+
+
+def relevant(p: Profile, *texts: Column) -> Column:
+    """Any expanded term of the query, of two characters or more, stands in the normalised texts."""
+    text = X.normalise(F.concat_ws(" ", *texts))
+    return (text != "") & X.contains_any(text, [_norm(t) for t in p.expanded if len(t) > 1])
+
+
 def provenance(df: DataFrame, state: str, score: str) -> DataFrame:
     return df.withColumn(score, F.col(score) * V.provenance_factor(F.col(state)))
 

@@ -152,3 +152,14 @@ def _(spark, d):
 def _(spark, d):
     t = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(X.words(F.col("text")))).alias("term"))
     return t.groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
+
+
+@query("a28_open_issues", M + """, x AS (SELECT us, id, 'i' || (CAST(session AS INT) % 8) AS issue, 'Issue of ' || project AS title, repeat(coalesce(props, ''), 30) AS summary, id % 2 = 0 AS done FROM m WHERE app = 'error'),
+f AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY us, id) AS rn FROM x)
+SELECT issue, title, CASE WHEN length(summary) > 140 THEN left(summary, 137) || '...' ELSE summary END AS summary, CASE WHEN done THEN 'resolved' ELSE 'open' END AS status FROM f WHERE rn = 1 ORDER BY us, id LIMIT 5""")
+def _(spark, d):
+    key = F.concat(F.lit("i"), (F.col("session").cast("int") % 8).cast("string"))
+    entity = lambda kind, key, name: F.struct(kind.alias("kind"), key.alias("key"), name.alias("name"))
+    both = F.array(entity(F.lit("file"), F.lit("a.txt"), F.lit("a.txt")), entity(F.when(F.col("app") == "error", "issue").otherwise("app"), key, F.concat(F.lit("Issue of "), "project")))
+    e = memories(spark, d).select("us", "id", F.repeat(F.coalesce("props", F.lit("")), 30).alias("summary"), F.when(F.col("id") % 2 == 0, "succeeded").otherwise("failed").alias("outcome"), both.alias("entities"))
+    return C.open_issues(e)

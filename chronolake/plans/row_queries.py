@@ -231,7 +231,19 @@ def _(spark, d):
 @query("f16_policy_gate", "SELECT c_custkey, c_acctbal > 0 AND CASE c_nationkey % 4 WHEN 1 THEN true WHEN 2 THEN c_mktsegment = 'BUILDING' ELSE false END AS shared FROM customer")
 def _(spark, d):
     mode = F.element_at(F.array(*[F.lit(m) for m in ("disabled", "members", "opt_in", "unknown")]), (F.col("c_nationkey") % 4 + 1).cast("int"))
-    return table(spark, d, "customer").select("c_custkey", P.policy_gate(mode, F.when(F.col("c_acctbal") > 0, "shared_anon").otherwise("local"), F.col("c_mktsegment") == "BUILDING").alias("shared"))
+    return table(spark, d, "customer").select("c_custkey", P.policy_gate(mode, F.when(F.col("c_acctbal") > 0, "SHARED_ANON").otherwise("LOCAL_ONLY"), F.col("c_mktsegment") == "BUILDING").alias("shared"))
+
+
+@query("f21_skips", "SELECT p_partkey, p_size / 50 > 0.97 AS noisy, p_size / 50 > 0.58 AND (p_partkey % 100) / 100 < 0.18 AS nav_heavy FROM part")
+def _(spark, d):
+    share = F.col("p_size") / 50
+    return table(spark, d, "part").select("p_partkey", P.too_noisy(share).alias("noisy"), P.nav_heavy(share, (F.col("p_partkey") % 100) / 100).alias("nav_heavy"))
+
+
+@query("j16_children", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def _(spark, d):
+    parents = table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("id"))
+    return J.children(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", parents)
 
 
 @query("f31_back_filled", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS v, 'en' AS lang FROM customer")
@@ -306,6 +318,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.normalise_ascii(F.col("text"))).alias("norm"))
 
 
+@query("t03_alias_key", r"SELECT doc_id, md5(trim(regexp_replace(lower(trim(text)), '[^\p{L}\p{N}/._-]+', ':', 'g'), ':')) AS key FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(X.alias_key(F.col("text"))).alias("key"))
+
+
 @query("t04_words", f"SELECT doc_id, len(list_filter(string_split({norm_sql('text')}, ' '), lambda w: w <> '')) AS words, len(list_distinct(list_filter(string_split({norm_sql('text')}, ' '), lambda w: w <> ''))) AS different FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
     w = X.words(F.col("text"))

@@ -222,6 +222,21 @@ def _(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), R.merge_allowed(score, lexical, vector, anchor).alias("merged"), R.merge_allowed_by_words(score, lexical, anchor).alias("by_words"))
 
 
+@query("l31_cross_app_merge", """SELECT event_id AS id, coalesce(abs(value * 3e7) <= 2700000000 AND user_id % 3 = event_id % 3 AND (event_id % 4 = event_id % 2
+  OR event_id % 2 = 0 AND (event_id % 10) / 10 >= 0.52 OR (event_id % 7) / 6 >= 0.93 AND (event_id % 10) / 10 >= 0.7), false) AS merged FROM events""")
+def _(spark, d):
+    id = F.col("event_id")
+    url = F.concat(F.lit("https://site"), (F.col("user_id") % 3).cast("string"), F.lit(".org/p"), (id % 4).cast("string"), F.lit("?x=1#y"))
+    other = F.concat(F.lit(" http://Site"), (id % 3).cast("string"), F.lit(".org/p"), (id % 2).cast("string"), F.lit("/"))
+    merged = R.cross_app_merge(F.col("value") * 3e7, url, other, (id % 10) / 10, (id % 7) / 6, id % 2 == 0)
+    return table(spark, d, "events").select(id.alias("id"), merged.alias("merged"))
+
+
+@query("l32_relevant", f"SELECT doc_id AS id, regexp_matches(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '{'|'.join(R.Profile(SEARCH).expanded)}') AS relevant FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), R.relevant(R.Profile(SEARCH), F.col("text")).alias("relevant"))
+
+
 _ASKED = {
     "timeline of the release": "timeline", "pick up where I left off": "resume_work", "why did the build fail with a panic": "debug", "notes similar to this one": "related_to",
     "what is a vector index": "definition", "how to rotate keys": "how_to", "invoice of march": "lookup",
