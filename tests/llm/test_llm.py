@@ -412,9 +412,10 @@ def test_edit_bound(spark):
         rows.append((" ".join(words), " ".join(other), int(r.integers(0, 8))))
     df = spark.createDataFrame(rows, "x string, y string, most int")
     args = F.col("x"), F.col("y"), F.col("most")
-    got = df.select("x", "y", "most", line_dedup.within(*args).alias("near"), line_dedup.recurring(*args).alias("may")).collect()
+    got = df.select("x", "y", "most", line_dedup.within(*args).alias("near"), line_dedup.recurring(*args).alias("may"), line_dedup._by_place(*args).alias("place")).collect()
     assert all(g.near == (edits(g.x, g.y) <= g.most) for g in got) and {g.near for g in got} == {True, False}
     assert all(g.may or not g.near for g in got) and not all(g.may for g in got)
+    assert all(g.place is None or g.place >= edits(g.x, g.y) for g in got) and any(g.place is not None and g.near for g in got)
 
 
 def test_components(spark):
