@@ -98,10 +98,9 @@ def _spans(spark, d):
 
 @query("t12_salient_spans", f"WITH {_SPANS} SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, n) AS INTEGER) AS place, span AS text, round(score, 6) AS score FROM pos")
 def _(spark, d):
-    spans = F.array_sort("spans", lambda a, b: F.when(F.round(a["score"], 9) > F.round(b["score"], 9), -1).when(F.round(a["score"], 9) < F.round(b["score"], 9), 1).otherwise(0))
-    return _spans(spark, d).select("id", F.posexplode(spans).alias("p", "s")).select("id", (F.col("p") + 1).alias("place"), "s.text", F.round("s.score", 6).alias("score"))
+    return _spans(spark, d).select("id", F.posexplode("spans").alias("p", "s")).select("id", (F.col("p") + 1).alias("place"), "s.text", F.round("s.score", 6).alias("score"))
 
 
-@query("t12_concentration", f"WITH {_SPANS}, r AS (SELECT id, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, n) AS place FROM pos) SELECT x.id, round(coalesce(least(1, sum(score) FILTER (place <= 3) / sum(score)), 0), 6) AS concentration FROM x LEFT JOIN r ON r.id = x.id GROUP BY x.id")
+@query("t12_concentration", f"WITH {_SPANS}, r AS (SELECT id, score, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, n) AS place FROM pos) SELECT x.id, round(coalesce(least(1, sum(score) FILTER (place <= 3) / sum(score)), 0), 6) AS concentration FROM x LEFT JOIN r ON r.id = x.id GROUP BY x.id")
 def _(spark, d):
     return _spans(spark, d).select("id", F.round(L.concentration(F.col("spans")), 6).alias("concentration"))
