@@ -15,7 +15,9 @@ A batch need not be sorted inside a client: of the rows of one n the first by
 (day, change_id) is held, whichever comes first in the stream, since a row held by
 the same batch gives way to an earlier one. Jumps happen only where a batch
 begins. Buckets that are due for a jump but have no rows in the batch get a tick
-row; which are due follows from the least days that earlier starts put out.
+row; which are due follows from the least days that earlier starts put out. The
+last batch's start ends with the jumps over all gaps that are left, so every bucket
+that holds anything is in it.
 
 The dense ranks are found without a task for a whole client: (client, seq) pairs
 are range partitioned, numbered inside each range and shifted by the client's
@@ -51,6 +53,8 @@ _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",  # a commit writes what changed, not the whole store
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -181,8 +185,8 @@ def _order(x):
 class Applier(StatefulProcessor):
     """handleInputRows gets the feed's rows of one bucket and batch; due is the latest day whose held changes make next jump. A tick has n 0."""
 
-    def __init__(self, page: int = PAGE, cache: int = CACHE):
-        self.page, self.cache = page, cache
+    def __init__(self, page: int = PAGE, cache: int = CACHE, last: int = BATCHES):
+        self.page, self.cache, self.last = page, cache, last
 
     def init(self, handle) -> None:
         self.meta = handle.getValueState("bucket", "batch int, clients binary, days binary")
@@ -204,6 +208,9 @@ class Applier(StatefulProcessor):
             yield from b.full()
         for client in touched:
             yield from b.run(client)
+        if b.batch == self.last:
+            b.batch += 1
+            yield from b.jump(_ALWAYS)
         self.meta.update(b.meta())
         if b.least or b.waited:
             b.out.append((b.key, "", 0, "held", b.batch, 0, 0, None, None, None, min(b.least.values(), default=_ALWAYS + 1)))
@@ -260,8 +267,8 @@ def apply_changes(changes: DataFrame, page: int = PAGE, cache: int = CACHE) -> D
         for k, v in _ROCKS.items():
             spark.conf.set(k, v)
         started, latest = False, None
-        for batch in range(1, BATCHES + 2):
-            due = _ALWAYS if batch > BATCHES else -_ALWAYS if latest is None else latest - GRACE
+        for batch in range(1, BATCHES + 1):
+            due = -_ALWAYS if latest is None else latest - GRACE
             feed = rows.where(F.col("batch") == batch).select("bucket", "client", "batch", F.lit(due).alias("due"), "n", "day", "change_id", "op", "city", "balance", "known")
             ticks = _due(spark, at, batch, due) if started else None
             if ticks is not None:
@@ -287,9 +294,9 @@ def apply_changes(changes: DataFrame, page: int = PAGE, cache: int = CACHE) -> D
 
 
 def _due(spark, at: str, batch: int, due: int) -> DataFrame:
-    """Tick rows of the buckets whose earliest held change is due, by the last word of the starts so far."""
+    """Tick rows of the buckets whose earliest held change is due, by the last word of the starts so far; in the last batch of all that hold any."""
     told = spark.read.schema(_OUT).parquet(f"{at}/out").where("status = 'held'")
-    last = told.groupBy("bucket").agg(F.max_by("day", "batch").alias("day")).where(F.col("day") <= due)
+    last = told.groupBy("bucket").agg(F.max_by("day", "batch").alias("day")).where(F.col("day") <= (_ALWAYS if batch == BATCHES else due))
     none = {"client": "''", "batch": batch, "due": due, "n": 0, "day": 0, "change_id": 0, "op": "null", "city": "null", "balance": "0.0", "known": "false"}
     kinds = dict(f.split() for f in _FEED.split(", "))
     return last.select("bucket", *[F.expr(f"CAST({v} AS {kinds[c]})").alias(c) for c, v in none.items()])
@@ -299,7 +306,7 @@ def _start(spark, feed: DataFrame, at: str, applier: Applier) -> None:
     """Add a batch to the source and start the query on it; it ends when it has read what is there."""
     feed.write.mode("append").parquet(f"{at}/feed")
     out = spark.readStream.schema(_FEED).parquet(f"{at}/feed").groupBy("bucket").transformWithStateInPandas(applier, _OUT, "append", "none")
-    run = out.writeStream.format("parquet").partitionBy("status").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
 
 
