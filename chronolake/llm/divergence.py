@@ -30,7 +30,8 @@ from ._work import dropped, stored
 SCALE = 1_000_000_000
 LEAST, TOP = 3, 200
 BLOCK, CHUNK, STRIP = 16, 4096, 4  # groups of a block, terms of a chunk, chunks of a strip
-FLUSH = 200_000  # terms that a map task counts before it passes them on
+FLUSH = 500_000  # terms that a map task counts before it passes them on
+FEW = 1_000  # langs that may be broadcast
 _WORD = re.compile(b"[a-z\x80-\xff]+")
 _LOWER = bytes(T.LOWER)
 
@@ -41,11 +42,15 @@ def _counted(batches):
     held = 0
 
     def flush():
-        keys = [(g, t) for g, (n, _) in groups.items() for t in n]
-        lang, source = [g[0] for g, _ in keys] + [g[0] for g in groups], [g[1] for g, _ in keys] + [g[1] for g in groups]
-        rest = [None] * len(groups)
-        n, d = ([groups[g][k][t] for g, t in keys] + [0] * len(rest) for k in (0, 1))
-        term = pa.array([t for _, t in keys] + rest, pa.binary()).cast(pa.string())
+        lang, source, term, n, d = [], [], [], [], []
+        for (x, y), (count, seen) in groups.items():
+            k = len(count) + 1  # the last row is the group's own, without term
+            lang += [x] * k
+            source += [y] * k
+            term += [*count, None]
+            n += [*count.values(), 0]
+            d += [*map(seen.__getitem__, count), 0]
+        term = pa.array(term, pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), term, pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["lang", "source", "term", "n", "d"])
 
     for b in batches:
@@ -214,6 +219,8 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("ln"), F.sum("d").alias("d")).where(F.col("d") >= least).drop("d")
     kept = stored(kept, "audit-kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("ln").alias("lang_n"))
+    if langs.count() <= FEW:  # so many rows of three short fields fit anywhere; else the terms are dealt out by lang
+        langs = F.broadcast(langs)
     chunk = F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / CHUNK).cast("long")).cast("int")
     place = F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term"))
     terms = stored(kept.join(langs, "lang").withColumn("chunk", chunk).select("lang", "term", "ln", "chunk", place.alias("t")), "audit-terms")
