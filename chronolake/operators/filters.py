@@ -230,12 +230,38 @@ def storage_outcome(r: dict[str, Column]) -> Column:
     )
 
 
-def quality_issues(df: DataFrame, text: str) -> DataFrame:
-    """Rows with at least one issue and the list of them."""
-    c = F.coalesce(F.col(text), F.lit(""))
-    n = F.size(X.words(c))
-    flags = {"empty": n == 0, "short": n.between(1, 5), "symbols": X.symbol_ratio(c) > 0.46, "shouting": (F.upper(c) == c) & (F.lower(c) != c), "repeats": (n > 0) & (F.size(F.array_distinct(X.words(c))) / n < 0.3), "noise": X.noise_score(c) > 0.5, "inventory": X.file_inventory_like(c), "json": X.json_dump_like(c), "unsplit": F.length(c) > 5000}
-    issues = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()]))
+# What a vague context says, its least words, limits of two scores, the beginning of a text that its embedding text must not have.
+VAGUE, LEAST_WORDS = ["user engaged with", "low confidence", "ui elements", "window and saw", "general browsing", "some activity"], 10
+LEAST_USEFULNESS, MOST_NOISE, RAW_START, RAW_LENGTH = 0.60, 0.50, 42, 60
+
+
+def debug_text(c: Column) -> Column:
+    """ASCII letters and digits in lower case, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def quality_issues(df: DataFrame, expected: Column) -> DataFrame:
+    """Rows with at least one issue and the list of them, in a fixed order.
+
+    df: context, intent, project, topic, entities, files, usefulness, noise, outcome,
+    weak_graph (number of graph events of weak evidence), embedding_text, text;
+    ``expected`` is the outcome that storage_outcome gives the row.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    context, embedded, start = debug_text(F.col("context")), debug_text(F.col("embedding_text")), F.substring(debug_text(F.col("text")), 1, RAW_START)
+    vague = (context == "") | (F.size(F.split(context, " ")) < LEAST_WORDS) | reduce(lambda a, b: a | b, [context.contains(v) for v in VAGUE])
+    flags = {
+        "vague_memory_context": vague,
+        "missing_intent": blank("intent"),
+        "missing_project_or_topic": blank("project") & (blank("topic") | (F.col("topic") == "unknown")),
+        "missing_entities": (F.size("entities") <= 0) & (F.size("files") <= 0),
+        "low_agent_usefulness": F.col("usefulness") < LEAST_USEFULNESS,
+        "high_ocr_noise": F.col("noise") > MOST_NOISE,
+        "primary_should_be_low_quality_evidence": (F.col("outcome") == "primary_memory_card") & (expected != "primary_memory_card"),
+        "graph_events_with_weak_evidence": F.col("weak_graph") > 0,
+        "embedding_text_dominated_by_raw_ocr": (F.length(embedded) > RAW_LENGTH) & (start != "") & embedded.startswith(start),
+    }
+    issues = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in flags.items()]))
     return df.withColumn("issues", issues).where(F.size("issues") > 0)
 
 

@@ -328,45 +328,132 @@ def rerank(pool: DataFrame, p: Profile, age_hours: Column, require_anchor: bool
         staleness(age_hours / 24, signal, p.recent),
         F.greatest(c("decay"), F.lit(0.15)),
     ]
-    return pool.withColumn("score", reduce(lambda a, b: a * b, factors, c("score")))
+    return pool.withColumns({"score": reduce(lambda a, b: a * b, factors, c("score")), "signal": signal})
 
 
-def relevance_gate(pool: DataFrame, p: Profile) -> DataFrame:
-    """Keep rows over the absolute floor (.24, a little more for short or recent queries) and over .32 of the best; the best needs only the first."""
-    floor = 0.24 + (0.04 if len(p.primary) == 1 else 0.0) + (0.02 if p.recent else 0.0)
-    top = F.max("score").over(Window.partitionBy(F.lit(0)))
-    return pool.withColumn("_top", top).where((F.col("score") >= floor) & (F.col("score") >= 0.32 * F.col("_top"))).where(coverage(p, F.col("toks")) > 0 if p.primary else F.lit(True)).drop("_top")
+# Terms too weak to anchor a query; least coverage by number of primary terms; floors of the gate and of the diversity, top rows that keep their places.
+WEAK_TERMS = "last time times first recent latest watch watched watching find found show showed showing look looked open opened".split()
+LEAST_COVERAGE = {4: 0.30, 3: 0.24, 2: 0.17, 1: 0.18}
+ABSOLUTE_FLOOR, MANY_TERMS, DEFINITION, RELATIVE_FLOOR = 0.24, 0.04, 0.02, 0.32
+STRONG_FLOOR, MEDIUM_FLOOR, LATER_SHARE, TOP_SHARE, KEPT_TOP, EARLY = 0.70, 0.60, 0.9, 0.42, 3, 8
+# Likeness of two texts that are one, rows of a session, results of the deduplication.
+ALIKE, OF_SESSION, RESULTS = 0.92, 2, (6, 30)
+# What a first and each further row of an app, a source and half an hour adds; the share of the signal strength.
+DIVERSITY = {"app": (0.10, 0.10), "place": (0.07, 0.08), "slot": (0.04, 0.03)}
+RECENT_SLOT, SIGNAL_SHARE, SLOT_US = 0.02, 0.04, 1_800_000_000
 
 
-def diversify(pool: DataFrame, limit: int, keep: int = 3, most: int = 64) -> DataFrame:
-    """Greedy re-selection of a ranked pool of at most ``most`` rows: the first ``keep`` stay; then the best score less repeats of app and half hour; drops texts alike by .92.
+def anchor_terms(p: Profile) -> list[str]:
+    """Primary terms of four bytes or more that are not weak; else the first one."""
+    return [t for t in p.primary if len(t.encode()) >= 4 and t not in WEAK_TERMS] or p.primary[:1]
 
+
+def anchor_required(p: Profile) -> bool:
+    """Short questions need an anchor, and those of which at most half the terms are anchors."""
+    found = anchor_terms(p)
+    return bool(found) and ((len(p.primary) <= 2 and p.intent == "general") or len(found) <= max(1, len(p.primary) // 2))
+
+
+def has_anchor(p: Profile, tokens: Column) -> Column:
+    """A number of the query, or an anchor or its stem, is among the tokens."""
+    return _any([F.array_contains(tokens, t) for t in [*p.numbers, *dict.fromkeys(x for t in anchor_terms(p) for x in (t, _stem(t)))]])
+
+
+def relevance_gate(pool: DataFrame, p: Profile, now_us: Column | None = None) -> DataFrame:
+    """Keep the rows of a pool that pass all gates.
+
+    Score: at least .24 (.04 more from four primary terms, .02 for definitions), but
+    never over .9 of the best; at least .32 of the best, for all but the first that
+    passes. Coverage: .18, .17, .24, .30 for one, two, three, four terms, or the row
+    holds a term or number. An anchor where one is required; a number where one is
+    asked for; for questions of freshness (``now_us`` given) not older than its signal
+    keeps it. pool: id, score, toks, us and, for freshness, signal.
+    """
+    floor = ABSOLUTE_FLOOR + (MANY_TERMS if len(p.primary) >= 4 else 0.0) + (DEFINITION if p.intent == "definition" else 0.0)
+    says = mentions(p, F.col("toks"))
+    keep = F.col("score") >= F.least(F.lit(floor), F.greatest(F.col("_top") * 0.90, F.lit(0.01)))
+    if p.primary:
+        keep = keep & ((coverage(p, F.col("toks")) >= LEAST_COVERAGE[min(4, len(p.primary))]) | says)
+    if anchor_required(p):
+        keep = keep & has_anchor(p, F.col("toks"))
+    if p.numbers:
+        keep = keep & says
+    if now_us is not None and p.recent:
+        keep = keep & (F.greatest(now_us - F.col("us"), F.lit(0)) / 86_400_000_000 <= retention_days(F.col("signal")))
+    best = pool.agg(F.max("score").alias("_top"))
+    passed = pool.join(F.broadcast(best)).where(keep)  # one row
+    first = passed.agg(F.max_by("id", F.struct("score", "us")).alias("_first"))
+    return passed.join(F.broadcast(first)).where((F.col("score") >= F.col("_top") * RELATIVE_FLOOR) | (F.col("id") == F.col("_first"))).drop("_top", "_first")  # one row
+
+
+def fuzzy_dedup(rows: list[dict], limit: int) -> list[dict]:
+    """Of rows in order of score, those whose words are not .92 alike with a row before and that are among the first two of their session; at most 6 to 30."""
+    kept, sessions = [], {}
+    for r in rows:
+        own = set(r["toks"])
+        if not own or any(len(own & x) >= ALIKE * len(own | x) for x in (set(k["toks"]) for k in kept)) or sessions.get(r["session"], 0) >= OF_SESSION:
+            continue
+        sessions[r["session"]] = sessions.get(r["session"], 0) + 1
+        kept.append(r)
+        if len(kept) >= min(max(limit, RESULTS[0]), RESULTS[1]):
+            break
+    return kept
+
+
+def diverse(rows: list[dict], limit: int, recent: bool = False) -> list[dict]:
+    """Greedy selection for diversity of app, place (domain or session) and half hour; the first three keep their places."""
+    rows, desired = list(rows), min(limit, 30)
+    top = rows[0]["score"] if rows else 0.0
+    strong, medium = min(STRONG_FLOOR, top), min(MEDIUM_FLOOR, top)
+    selected, seen = rows[: min(KEPT_TOP, desired)], {}
+    rows = rows[len(selected) :]
+    keys = lambda r: [("app", r["app"]), ("place", r["place"]), ("slot", r["us"] // SLOT_US)]
+    for r in selected:
+        for k in keys(r):
+            seen[k] = seen.get(k, 0) + 1
+
+    def worth(r):
+        out = r["score"] + SIGNAL_SHARE * r["signal"]
+        for k in keys(r):
+            first, more = DIVERSITY[k[0]]
+            n = seen.get(k, 0)
+            out += (RECENT_SLOT if k[0] == "slot" and recent else first) if n == 0 else -n * more
+        return out
+
+    while len(selected) < desired and rows:
+        floor = medium if len(selected) < min(EARLY, desired) else max(medium * LATER_SHARE, top * TOP_SHARE)
+        fit = [i for i, r in enumerate(rows) if r["score"] >= floor]
+        if not fit:
+            break
+        best = max(fit, key=lambda i: (worth(rows[i]), i))
+        selected.append(rows.pop(best))
+        for k in keys(selected[-1]):
+            seen[k] = seen.get(k, 0) + 1
+    for r in rows:
+        if len(selected) < desired and (r["score"] >= strong or not selected):
+            selected.append(r)
+    return selected
+
+
+def diversify(pool: DataFrame, limit: int, recent: bool = False, most: int = 64, dedup: bool = True) -> DataFrame:
+    """id, place and score of the final selection out of a ranked pool of at most ``most`` rows: near copies and third rows of a session go, then rows are taken by score and diversity.
+
+    pool: id, score, app, us, toks and, where it has them, session, url and signal.
     One pandas call over the bounded pool.
     """
-    top = pool.orderBy(F.desc("score"), "id").limit(most).select("id", "score", "app", "us", "toks")
+    has = set(pool.columns)
+    session = F.coalesce(F.col("session").cast("string"), F.lit("")) if "session" in has else F.col("id").cast("string")
+    site = L.domain(F.col("url")) if "url" in has else F.lit("")
+    place = F.when(F.coalesce(site, F.lit("")) == "", session).otherwise(F.concat_ws(":", F.lower("app"), site))
+    cols = ["id", "score", F.lower("app").alias("app"), "us", "toks", session.alias("session"), place.alias("place"), (F.col("signal") if "signal" in has else F.lit(0.0)).alias("signal")]
+    top = pool.orderBy(F.desc("score"), F.desc("us"), "id").limit(most).select(*cols)
     kind = dict(pool.dtypes)["id"]
 
     def f(pdf):
         import pandas as pd
 
-        rows = pdf.sort_values(["score", "id"], ascending=[False, True]).to_dict("records")
-        kept, apps, slots = [], {}, {}
-
-        def alike(r):
-            a = set(r["toks"])
-            return any(len(a & b) >= 0.92 * max(1, len(a | b)) for b in (set(k["toks"]) for k in kept))
-
-        while rows and len(kept) < limit:
-            if len(kept) < keep:
-                r = rows.pop(0)
-            else:
-                r = max(rows, key=lambda x: (x["score"] * (1 - 0.06 * min(3, apps.get(x["app"], 0)) - 0.04 * min(3, slots.get(x["us"] // 1_800_000_000, 0)))))
-                rows.remove(r)
-            if alike(r):
-                continue
-            kept.append(r)
-            apps[r["app"]] = apps.get(r["app"], 0) + 1
-            slots[r["us"] // 1_800_000_000] = slots.get(r["us"] // 1_800_000_000, 0) + 1
+        rows = pdf.sort_values(["score", "us", "id"], ascending=[False, False, True]).to_dict("records")
+        kept = diverse(fuzzy_dedup(rows, limit) if dedup else rows, limit, recent)
         return pd.DataFrame({"id": [k["id"] for k in kept], "place": range(1, len(kept) + 1), "score": [k["score"] for k in kept]})
 
     return top.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda key, pdf: f(pdf), f"id {kind}, place long, score double")

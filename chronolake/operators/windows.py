@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def previous_row(df: DataFrame, order: list[str], take: list[str], bucket: str) -> DataFrame:
     """Add prev_<c> for each c of ``take``: the value in the row before, in the order of the whole table.
@@ -151,3 +153,22 @@ def ewma(df: DataFrame, key: str, value: str, alpha: float = 0.125) -> DataFrame
     """Exponentially weighted mean of a key's values in time order; the first value starts it."""
     seq = F.transform(F.array_sort(F.collect_list(F.struct("us", "id", F.col(value).alias("v")))), lambda x: x["v"])
     return df.groupBy(key).agg(seq.alias("_s")).select(key, F.round(F.aggregate(F.slice("_s", F.lit(2), F.size("_s")), F.element_at("_s", 1), lambda a, x: a + alpha * (x - a)), 6).alias("ewma"))
+
+
+# Under both of these a group is cut.
+LEAST_ENTITIES, LEAST_WORDS = 0.35, 0.20
+
+
+def split_groups(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """df with part, numbered from 1 inside each group: a row begins a new part if it shares too few entities and words with the row before.
+
+    df: entities (array), title, summary, text. A row without entities has the words
+    of its title and summary instead.
+    """
+    words = lambda c: F.array_distinct(F.filter(X.words(F.coalesce(c, F.lit(""))), lambda w: F.octet_length(w) > 2))
+    named = F.array_distinct(F.filter(F.transform("entities", X.normalise), lambda e: e != ""))
+    own = F.when(F.size("entities") > 0, named).otherwise(words(F.concat_ws(" ", "title", "summary")))
+    w = Window.partitionBy(group).orderBy(*order)
+    x = df.withColumns({"_e": own, "_w": words(F.col("text"))}).withColumns({"_pe": F.lag("_e").over(w), "_pw": F.lag("_w").over(w)})
+    cut = F.col("_pe").isNotNull() & (X.jaccard(F.col("_e"), F.col("_pe")) < LEAST_ENTITIES) & (X.jaccard(F.col("_w"), F.col("_pw")) < LEAST_WORDS)
+    return x.withColumn("_c", cut.cast("int")).withColumn("part", (1 + F.sum("_c").over(w)).cast("long")).drop("_e", "_w", "_pe", "_pw", "_c")

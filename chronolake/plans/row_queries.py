@@ -303,9 +303,28 @@ def _(spark, d):
     return c.select("conv_id", "turn", names.alias("names"), X.named_entity_overlap(F.col("text"), F.col("before")).cast("long").alias("shared"))
 
 
-@query("f27_quality_issues")
-def _(spark, d):
-    return P.quality_issues(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.array_join("issues", ",").alias("issues"))
+_DEBUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("f27_quality_issues", f"""WITH r AS (SELECT p_partkey AS id, trim(repeat(p_name || ', ', p_size % 9)) || CASE WHEN p_partkey % 7 = 0 THEN ' some ACTIVITY' ELSE '' END AS context, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE 'buy' END AS intent, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END AS project,
+  CASE WHEN p_partkey % 5 = 0 THEN 'unknown' WHEN p_partkey % 5 = 1 THEN '' ELSE p_type END AS topic, p_partkey % 4 = 0 AS bare, (p_size % 10) / 10 AS usefulness, (p_partkey % 9) / 9 AS noise, CASE WHEN p_partkey % 6 < 3 THEN 'primary_memory_card' ELSE 'low_quality_evidence' END AS outcome,
+  p_size > 20 AS good, p_partkey % 11 AS weak, CASE WHEN p_partkey % 8 < 4 THEN p_type || ' * ' || repeat(p_name || '-', 6) ELSE p_name END AS embedding_text, p_type || '  ' || repeat(p_name || ' ', 6) AS text FROM part),
+f AS (SELECT id, list_filter([CASE WHEN {_DEBUG.format('context')} = '' OR len(string_split({_DEBUG.format('context')}, ' ')) < 10 OR contains({_DEBUG.format('context')}, 'some activity') THEN 'vague_memory_context' END, CASE WHEN trim(intent) = '' THEN 'missing_intent' END,
+  CASE WHEN project = '' AND topic IN ('', 'unknown') THEN 'missing_project_or_topic' END, CASE WHEN bare THEN 'missing_entities' END, CASE WHEN usefulness < 0.6 THEN 'low_agent_usefulness' END, CASE WHEN noise > 0.5 THEN 'high_ocr_noise' END,
+  CASE WHEN outcome = 'primary_memory_card' AND NOT good THEN 'primary_should_be_low_quality_evidence' END, CASE WHEN weak > 8 THEN 'graph_events_with_weak_evidence' END,
+  CASE WHEN length({_DEBUG.format('embedding_text')}) > 60 AND starts_with({_DEBUG.format('embedding_text')}, left({_DEBUG.format('text')}, 42)) THEN 'embedding_text_dominated_by_raw_ocr' END], lambda x: x IS NOT NULL) AS issues FROM r)
+SELECT id, array_to_string(issues, ',') AS issues FROM f WHERE len(issues) > 0""")
+def _(spark, d):
+    k, size, name = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+    times = lambda c, mark, n: F.repeat(F.concat(c, F.lit(mark)), n.cast("int"))
+    none = F.array().cast("array<string>")
+    rows = table(spark, d, "part").select(
+        k.alias("id"), F.concat(F.trim(times(name, ", ", size % 9)), F.when(k % 7 == 0, " some ACTIVITY").otherwise("")).alias("context"), F.when(k % 3 == 0, " ").otherwise("buy").alias("intent"), F.when(k % 2 == 0, "").otherwise(F.col("p_brand")).alias("project"),
+        F.when(k % 5 == 0, "unknown").when(k % 5 == 1, "").otherwise(F.col("p_type")).alias("topic"), F.when(k % 4 == 0, none).otherwise(F.array("p_brand")).alias("entities"), F.when(k % 8 == 2, F.array(name)).otherwise(none).alias("files"), ((size % 10) / 10).alias("usefulness"), ((k % 9) / 9).alias("noise"),
+        F.when(k % 6 < 3, "primary_memory_card").otherwise("low_quality_evidence").alias("outcome"), F.when(k % 11 > 8, 1).otherwise(0).alias("weak_graph"), F.when(k % 8 < 4, F.concat(F.col("p_type"), F.lit(" * "), times(name, "-", F.lit(6)))).otherwise(name).alias("embedding_text"), F.concat(F.col("p_type"), F.lit("  "), times(name, " ", F.lit(6))).alias("text"), (size > 20).alias("good"),
+    )
+    out = P.quality_issues(rows, F.when(F.col("good"), "primary_memory_card").otherwise("low_quality_evidence"))
+    return out.select("id", F.array_join("issues", ",").alias("issues"))
 
 
 @query("t01_normalise", f"SELECT doc_id, md5({norm_sql('text')}) AS norm FROM documents")

@@ -158,7 +158,19 @@ def search(spark, d, text: str = SEARCH, limit: int = 20):
     pool = R.fuse({"semantic": semantic, "keyword": keyword}, rows, "text", p, 60)
     newest = rows.agg(F.max("us")).first()[0]
     ranked = R.rerank(pool, p, (F.lit(newest) - F.col("us")) / 3.6e9)
-    return R.diversify(R.relevance_gate(ranked, p), limit)
+    return R.diversify(R.relevance_gate(ranked, p, F.lit(newest)), limit, p.recent)
+
+
+GATED = "what is erly thnt"
+_STEM = "CASE WHEN strlen(w) > 4 AND ends_with(w, 'ies') THEN left(w, -3) || 'y' WHEN strlen(w) > 5 AND ends_with(w, 'ing') THEN left(w, -3) WHEN strlen(w) > 4 AND ends_with(w, 'ed') THEN left(w, -2) WHEN strlen(w) > 4 AND ends_with(w, 'es') THEN left(w, -2) WHEN strlen(w) > 3 AND ends_with(w, 's') THEN left(w, -1) ELSE w END"
+
+
+@query("l17_relevance_gate", f"""WITH d AS (SELECT doc_id AS id, 0.2 + (doc_id % 97) / 120 AS score, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS ws FROM documents WHERE text IS NOT NULL),
+t AS (SELECT id, score, list_distinct(list_concat(ws, list_transform(ws, lambda w: {_STEM}))) AS ts FROM d), c AS (SELECT *, (list_contains(ts, 'erly')::INT + list_contains(ts, 'thnt')::INT) / 2 AS cover, max(score) OVER () AS top FROM t),
+k AS (SELECT * FROM c WHERE score >= least(0.26, greatest(top * 0.9, 0.01)) AND cover > 0) SELECT id, round(score, 6) AS score FROM k WHERE score >= 0.32 * top OR id = (SELECT arg_max(id, (score, id)) FROM k)""")
+def _(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text", (0.2 + (F.col("doc_id") % 97) / 120).alias("score"), F.col("doc_id").alias("us"))
+    return R.relevance_gate(R.with_text(docs, F.col("text")), R.Profile(GATED)).select("id", F.round("score", 6).alias("score"))
 
 
 @query("r26_hybrid_search")

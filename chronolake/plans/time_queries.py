@@ -227,11 +227,19 @@ def _(spark, d):
     return g.groupBy("app").agg(F.countDistinct("part", "group_no").alias("groups"), F.count("*").alias("n"))
 
 
-@query("w06_split_groups", M + ", p AS (SELECT session, id, us, CASE WHEN abs(value - lag(value) OVER o) > 20 AND app <> lag(app) OVER o THEN 1 ELSE 0 END AS cut FROM m WINDOW o AS (PARTITION BY session ORDER BY us, id)) SELECT session, CAST(1 + sum(cut) AS BIGINT) AS parts FROM p GROUP BY session")
+_TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: strlen(w) > 2))"
+_ALIKE = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
+
+
+@query("w06_split_groups", f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+e AS (SELECT *, CASE WHEN turn % 3 = 0 THEN {_TOKENS.format("role || ' ' || text")} ELSE ['topic ' || (conv_id % 2 + turn // 4), role] END AS e, {_TOKENS.format('text')} AS w FROM c),
+l AS (SELECT *, lag(e) OVER o AS pe, lag(w) OVER o AS pw FROM e WINDOW o AS (PARTITION BY conv_id ORDER BY turn, text))
+SELECT conv_id, turn, CAST(1 + sum(CASE WHEN pe IS NOT NULL AND {_ALIKE.format('e', 'pe')} < 0.35 AND {_ALIKE.format('w', 'pw')} < 0.2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS part FROM l""")
 def _(spark, d):
-    w = Window.partitionBy("session").orderBy("us", "id")
-    p = memories(spark, d).withColumn("cut", ((F.abs(F.col("value") - F.lag("value").over(w)) > 20) & (F.col("app") != F.lag("app").over(w))).cast("int"))
-    return p.groupBy("session").agg((1 + F.sum(F.coalesce("cut", F.lit(0)))).alias("parts"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", *[F.coalesce(x, F.lit("")).alias(x) for x in ("role", "text")])
+    topic = F.concat(F.lit("Topic: "), (F.col("conv_id") % 2 + F.floor(F.col("turn") / 4)).cast("string"))
+    rows = c.withColumns({"title": F.col("role"), "summary": F.col("text"), "entities": F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(topic, F.col("role")))})
+    return W.split_groups(rows, "conv_id", ["turn", "text"]).select("conv_id", "turn", "part")
 
 
 @query("w07_best_per_key", M + "SELECT session, id, value FROM m QUALIFY row_number() OVER (PARTITION BY session ORDER BY value DESC, us DESC, id) = 1")

@@ -110,6 +110,34 @@ def test_gate_and_diversity(spark):
     assert [r.id for r in R.diversify(kept, 5).orderBy("place").collect()] == [1, 3]
 
 
+def test_gates_of_a_pool(spark):
+    rows = [(1, "gamma", 0.2, 0), (2, "rust 7 beta", 0.9, 5), (3, "beta only", 0.29, 5), (4, "rust", 0.28, 5), (5, "beta rust 7", 0.5, 5)]
+    pool = R.with_text(spark.createDataFrame(rows, "id long, text string, score double, us long"), F.col("text")).withColumn("signal", F.lit(0.0))
+    ids = lambda q, **k: sorted(r.id for r in R.relevance_gate(pool, R.Profile(q), **k).collect())
+    assert ids("rust beta") == [2, 3, 5]  # 4 is under .32 of the best
+    assert ids("rust beta 7") == [2, 3, 5] and ids("delta 7") == [2, 5]
+    assert ids("latest rust", now_us=F.lit(15 * 86_400_000_000)) == [] and ids("latest rust", now_us=F.lit(13 * 86_400_000_000)) == [2, 5]
+    assert ids("what is watch") == [] and ids("") == [2, 3, 5]
+
+
+def test_near_copies_and_third_rows_of_a_session_go():
+    words = [f"w{i}" for i in range(30)]
+    row = lambda i, toks, session: {"id": i, "toks": toks, "session": session}
+    rows = [row(1, words, "a"), row(2, words[:28] + ["x", "w28"], "b"), row(3, words[:20], "a"), row(4, words[10:], "a"), row(5, [], "c"), row(6, ["other"], "c")]
+    assert [r["id"] for r in R.fuzzy_dedup(rows, 10)] == [1, 3, 6]
+    assert len(R.fuzzy_dedup([row(i, [f"u{i}"], str(i)) for i in range(50)], 3)) == 6 and len(R.fuzzy_dedup([row(i, [f"u{i}"], str(i)) for i in range(50)], 99)) == 30
+
+
+def test_selection_for_diversity():
+    row = lambda i, score, app, place, slot, signal=0.0: {"id": i, "score": score, "app": app, "place": place, "us": slot * R.SLOT_US, "signal": signal}
+    top = [row(i, 0.95, "x", "p", 0) for i in (1, 2, 3)]
+    rest = [row(4, 0.90, "x", "p", 0), row(5, 0.70, "y", "q", 1), row(6, 0.66, "z", "p", 2, 1.0), row(7, 0.59, "n", "n", 3)]
+    # 5 gains .21, 6 gains .10 - .24 + .04 + .04, 4 loses .30 + .24 + .09, 7 is under the floor
+    assert [r["id"] for r in R.diverse(top + rest, 6)] == [1, 2, 3, 5, 6, 4]
+    assert [r["id"] for r in R.diverse(top + rest, 9)] == [1, 2, 3, 5, 6, 4]
+    assert R.diverse([], 5) == [] and [r["id"] for r in R.diverse(top + rest, 2)] == [1, 2]
+
+
 def test_chunks():
     from chronolake.operators import chunking as C
 
