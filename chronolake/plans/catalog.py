@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answer_queries, chunk_queries, context_queries, graph_queries, line_queries, merge_queries, row_queries, search_queries, time_queries  # noqa: F401
+from . import answer_queries, chunk_queries, context_queries, graph_queries, line_queries, lookup_queries, merge_queries, row_queries, search_queries, time_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
