@@ -364,6 +364,30 @@ def similar_pairs(n, kind, count=150):
     return out
 
 
+def longer_pairs(n, kind, count=100):
+    """Pairs of lines of n words of other lengths: a letter more, a short word more, a word split, two joined. Every second pair has a border of the length parts between its lengths."""
+    r = np.random.default_rng([n, *map(ord, kind)])
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    part = lambda x: int(np.floor(5 * np.log(len(x))))
+    out = []
+    while len(out) < count:
+        words = ["".join(r.choice(letters, k)) for k in r.integers(3, 10, n)]
+        line, i = " ".join(words), int(r.integers(n - 1))
+        at = int(r.integers(1, len(words[i])))
+        if kind == "letter":
+            words[i] = words[i][:at] + "z" + words[i][at:]
+        elif kind == "word":
+            words.insert(i, "".join(r.choice(letters, max(1, min(6, len(line) // 10 - 1)))))
+        elif kind == "split":
+            words[i] = words[i][:at] + " " + words[i][at:]
+        else:
+            words[i : i + 2] = [words[i] + words[i + 1]]
+        other = " ".join(words)
+        if len(out) % 2 or part(line) != part(other):
+            out.append((line, other))
+    return out
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -373,6 +397,22 @@ def edits(a, b):
     return row[-1]
 
 
+def test_recall_of_lines_of_other_lengths(spark):
+    """Against brute-force edit similarity, at 8, 12, 20 and 40 words, half of the pairs across a border of the length parts."""
+    pairs = {(n, kind): longer_pairs(n, kind) for n in (8, 12, 20, 40) for kind in ("letter", "word", "split", "joined")}
+    sure = {key: [(a, b) for a, b in each if 10 * edits(a, b) <= max(len(a), len(b))] for key, each in pairs.items()}
+    rows, where = [], {}
+    for key, each in sure.items():
+        for a, b in each:
+            rows += [(2 * len(rows), a), (2 * len(rows) + 1, b)]
+            where[rows[-1][0]] = key
+    gone = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    found = Counter(where[i] for i in gone)
+    recall = {key: found[key] / len(each) for key, each in sure.items()}
+    print(recall)
+    assert all(len(each) > 70 for each in sure.values()) and min(recall.values()) >= 0.9, recall
+
+
 def test_recall_of_similar_lines(spark):
     """Against brute-force edit similarity, at 5, 10, 20 and 40 words."""
     pairs = {(n, kind): similar_pairs(n, kind) for n in (5, 10, 20, 40) for kind in ("letter", "typos", "word")}
