@@ -103,3 +103,17 @@ def insight_context(nodes: DataFrame, edges: DataFrame, project: str | None = No
     found = [best(row(own, "project", F.col("id"), F.col("label")), INSIGHT[0]), best(row(edges, "edge", F.col("source"), F.col("target")), INSIGHT[1]), best(row(clash, "conflict", F.col("source"), F.col("target")), INSIGHT[2])]
     out = found[0].unionByName(found[1]).unionByName(found[2])
     return out.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("confidence"), "a", "b")))
+
+
+def oldest_first(df: DataFrame) -> DataFrame:
+    """All rows from the oldest on, with place; numbered inside days, so no task gets the whole table. df: id, us, day."""
+    from .windows import running_total
+
+    return running_total(df, F.lit(1).cast("long"), ["us", "id"], "day", "place").orderBy("us", "id")
+
+
+def spoken_hits(segments: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """Segments that hold a term, by the share of terms they hold, then start and index. segments: meeting, start, index, text."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    hits = sum((text.contains(t).cast("int") for t in terms), F.lit(0))
+    return segments.withColumn("score", hits / len(terms)).where("score > 0").orderBy(F.desc("score"), "start", "index", "meeting").limit(limit)

@@ -285,11 +285,29 @@ def source_alignment(p: Profile, title: Column, app: Column, url: Column, body:
     return F.when(has(app) | has(L.domain(url)), 1.0).when(has(title) | has(url), 0.85).when(has(body), 0.45).otherwise(0.0)
 
 
+# What marks a browser's own text; factors for it, for a term in the domain, and for categories and aliases that match (each, at most).
+CHROME_TITLE, CHROME_TEXT = "new tab", ["new tab", "tab strip", "back forward", "home trending", "notifications"]
+CHROME, DOMAIN_TERM, CATEGORY, ALIAS = 0.62, 1.08, (0.12, 0.30), (0.08, 0.20)
+
+
+def name_factors(p: Profile, norm: Column, title: Column, url: Column, categories: Column | None = None, aliases: Column | None = None) -> list[Column]:
+    """Factors of a reranked row for browser text, a term in its domain, and categories and aliases that the query names."""
+    site = L.domain(F.coalesce(url, F.lit("")))
+    chrome = (X.normalise(F.coalesce(title, F.lit(""))) == CHROME_TITLE) | X.contains_any(norm, CHROME_TEXT)
+    out = [F.when(chrome, CHROME).otherwise(1.0), F.when((site != "") & _any([site.contains(t) for t in p.primary]), DOMAIN_TERM).otherwise(1.0)]
+    for names, least, (each, most) in ((categories, 0, CATEGORY), (aliases, 2, ALIAS)):
+        if names is not None:
+            met = lambda x: (F.octet_length(x) >= least) & (_any([x.contains(t) for t in p.primary]) | F.lit(p.raw.lower()).contains(x))  # noqa: E731, B023
+            n = F.size(F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.lower(x)), met))
+            out.append(1 + F.least(n * each, F.lit(most)))
+    return out
+
+
 def rerank(pool: DataFrame, p: Profile, age_hours: Column, require_anchor: bool | None = None) -> DataFrame:
     """Multiply the score by the row's relevance, age, quality and source factors.
 
     pool has score, norm, toks, pairs, wordlist, title, app, url, snippet, session,
-    us, confidence, noise, source and decay.
+    us, confidence, noise, source and decay, and may have categories and aliases (arrays).
     """
     c = F.col
     anchor = len(p.primary) <= 2 if require_anchor is None else require_anchor
@@ -327,6 +345,7 @@ def rerank(pool: DataFrame, p: Profile, age_hours: Column, require_anchor: bool
         0.78 + 0.32 * signal,
         staleness(age_hours / 24, signal, p.recent),
         F.greatest(c("decay"), F.lit(0.15)),
+        *name_factors(p, c("norm"), c("title"), c("url"), *[c(x) if x in pool.columns else None for x in ("categories", "aliases")]),
     ]
     return pool.withColumns({"score": reduce(lambda a, b: a * b, factors, c("score")), "signal": signal})
 
@@ -553,6 +572,16 @@ def planner_intent(p: Profile) -> str:
     return "how_to" if p.intent == "howto" else "lookup"
 
 
+def planner_intents(question: Column) -> Column:
+    """planner_intent of a column of questions."""
+    n = X.normalise(F.coalesce(question, F.lit("")))
+    starts = lambda words: _any([n.startswith(w) for w in words])
+    out = F.when(F.lit(False), F.lit(""))
+    for intent, parts in INTENT_WORDS:
+        out = out.when(X.contains_any(n, parts), intent)
+    return out.when(starts([*DEFINITION_STARTS, "what is", "what are", "define", "meaning of"]), "definition").when(starts(["how to", "how do", "how can"]), "how_to").otherwise("lookup")
+
+
 def plan(query: str, project: str | None = None) -> dict:
     """The query plan: intent, routes, weights, hops, kinds of seeds, edges, window, entity hints and needed context."""
     p = Profile(query)

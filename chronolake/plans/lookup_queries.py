@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import compose as T
+from ..functions import text as X
 from ..operators import context as C
 from ..operators import lookups as K
+from ..operators import retrieval as R
 from ..operators import runtime_graph as G
 from ..sources.memory import MEMORIES as M
 from ..sources.memory import memories, table
@@ -111,3 +114,74 @@ def _(spark, d):
     nodes = nodes.groupBy("id", "kind").agg(F.min("label").alias("label"), F.round(F.max("confidence"), 9).alias("confidence"))
     edges = edges.groupBy("source", "target", "edge_type").agg(F.round(F.max("confidence"), 9).alias("confidence"), F.bool_or("conflict").alias("conflict"))
     return K.insight_context(nodes, edges, "Brand#1").select("part", "a", "b", F.round("confidence", 6).alias("confidence"))
+
+
+_PLAIN = "trim(regexp_replace({0}, '[\\s\\p{{Cc}}]+', ' ', 'g'))"
+_SUMMARY = "[' LLM', 'fallback', 'vlm', '', 'ocr'][doc_id % 5 + 1]"
+
+
+@query("t17_compact_text", f"""WITH x AS (SELECT doc_id AS id, lower(trim({_SUMMARY})) AS s, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_PLAIN.format("coalesce(text, '')")} END AS a, CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_PLAIN.format("coalesce(text, '') || chr(7) || source")} END AS b FROM documents)
+SELECT id, CASE WHEN s IN ('llm', 'vlm') AND a <> '' THEN left(a, 360) WHEN b <> '' THEN left(b, CASE WHEN s = 'fallback' THEN 560 ELSE 420 END) ELSE left(a, CASE WHEN s IN ('llm', 'vlm') THEN 360 WHEN s = 'fallback' THEN 560 ELSE 420 END) END AS text FROM x""")
+def _(spark, d):
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    source = F.element_at(F.array(*[F.lit(x) for x in (" LLM", "fallback", "vlm", "", "ocr")]), (k % 5 + 1).cast("int"))
+    snippet, clean = F.when(k % 3 == 0, " ").otherwise(text), F.when(k % 7 == 0, "\n").otherwise(F.concat(text, F.lit("\x07"), "source"))
+    return table(spark, d, "documents").select(k.alias("id"), T.compact(source, snippet, clean).alias("text"))
+
+
+_FIELDS = {"intent": "CASE WHEN p_partkey % 3 = 0 THEN ' Buy ' || p_name ELSE '' END", "project": "CASE WHEN p_partkey % 4 = 0 THEN 'Unknown' ELSE p_brand END", "topic": "p_type", "happened": "repeat(p_name || ' ', p_size)"}
+_LISTS = {"entities": ("[p_brand, p_name][:p_partkey % 3]", ", "), "errors": ("[p_type][:p_partkey % 2]", "; "), "todos": ("CASE WHEN p_partkey % 5 = 0 THEN ['first ' || p_name, 'second'] ELSE ['step ' || p_brand][:p_partkey % 2] END", "; ")}
+_SEGMENT = "CASE WHEN trim({1}) <> '' AND lower(trim({1})) <> 'unknown' THEN '{0}: ' || trim({1}) END"
+
+
+@query("t18_embedding_text", "SELECT p_partkey AS id, left(concat_ws(chr(10), " + ", ".join(_SEGMENT.format(*x) for x in (("intent", _FIELDS["intent"]), ("project", _FIELDS["project"]), ("topic", _FIELDS["topic"]), ("what_happened", _FIELDS["happened"]), *[(k, f"array_to_string({v}, '{j}')") for k, (v, j) in _LISTS.items()])) + "), 2000) AS text FROM part")
+def _(spark, d):
+    k, none, text = F.col("p_partkey"), F.array().cast("array<string>"), F.lit(None).cast("string")
+    some = lambda n, *v: F.slice(F.array(*v), F.lit(1), n.cast("int"))
+    row = {name: none if joint else text for _, name, joint in T.SEGMENTS}
+    row |= {"intent": F.when(k % 3 == 0, F.concat(F.lit(" Buy "), "p_name")).otherwise(""), "project": F.when(k % 4 == 0, "Unknown").otherwise(F.col("p_brand")), "topic": F.col("p_type"), "happened": F.repeat(F.concat("p_name", F.lit(" ")), F.col("p_size").cast("int"))}
+    row |= {"entities": some(k % 3, F.col("p_brand"), F.col("p_name")), "errors": some(k % 2, F.col("p_type")), "todos": F.when(k % 5 == 0, F.array(F.concat(F.lit("first "), "p_name"), F.lit("second"))).otherwise(none), "steps": some(k % 2, F.concat(F.lit("step "), "p_brand"))}
+    return table(spark, d, "part").select(k.alias("id"), T.embedding_text(row).alias("text"))
+
+
+@query("t23_ungrounded_tokens", """WITH x AS (SELECT page_id AS id, 'see (' || url || '), a/b or src/lib.rs, ' || CASE WHEN page_id % 2 = 0 THEN 'std::vec' ELSE 'a::b' END || ' and words' AS field, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || ' src/lib.rs' WHEN 2 THEN url || ' src/lib.rs' ELSE 'src/lib.rs' END AS evidence FROM pages WHERE url IS NOT NULL),
+t AS (SELECT id, evidence, i, trim_w AS w FROM (SELECT id, evidence, generate_subscripts(string_split(field, ' '), 1) AS i, regexp_replace(unnest(string_split(field, ' ')), '^[^\\p{L}\\p{N}/:]+|[^\\p{L}\\p{N}/:]+$', '', 'g') AS trim_w FROM x))
+SELECT id, arg_min(w, i) AS token FROM t WHERE (contains(w, '://') OR (contains(w, '/') AND strlen(w) > 4) OR (contains(w, '::') AND strlen(w) > 4)) AND NOT contains(evidence, w) GROUP BY id""")
+def _(spark, d):
+    k, url = F.col("page_id"), F.col("url")
+    field = F.concat(F.lit("see ("), url, F.lit("), a/b or src/lib.rs, "), F.when(k % 2 == 0, "std::vec").otherwise("a::b"), F.lit(" and words"))
+    evidence = F.when(k % 4 == 0, url).when(k % 4 < 3, F.concat(url, F.lit(" src/lib.rs"))).otherwise("src/lib.rs")
+    return table(spark, d, "pages").where("url is not null").select(k.alias("id"), T.ungrounded(field, evidence).alias("token")).where("token is not null")
+
+
+_ASKED = "economy brushed brand"
+
+
+@query("l16_name_factors", """WITH x AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name || ' ' || CASE WHEN p_partkey % 5 = 0 THEN 'Back - Forward' ELSE p_type END), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm, CASE WHEN p_partkey % 7 = 0 THEN 'New  Tab' ELSE p_name END AS title,
+  CASE WHEN p_partkey % 3 = 0 THEN 'https://www.brand' || p_size || '.example/x' END AS url, lower(p_type) AS c1, lower(p_brand) AS c2, p_partkey AS k FROM part)
+SELECT id, round(CASE WHEN k % 7 = 0 OR contains(norm, 'new tab') OR contains(norm, 'tab strip') OR contains(norm, 'back forward') OR contains(norm, 'home trending') OR contains(norm, 'notifications') THEN 0.62 ELSE 1 END * CASE WHEN url IS NOT NULL THEN 1.08 ELSE 1 END
+  * (1 + least(0.3, 0.12 * ((contains(c1, 'economy') OR contains(c1, 'brushed'))::INT + 1 + (k % 4 = 0)::INT))) * (1 + least(0.2, 0.08 * (k % 2 + (k % 6 = 0)::INT))), 6) AS factor FROM x""")
+def _(spark, d):
+    k = F.col("p_partkey")
+    p = R.Profile(_ASKED)
+    norm = X.normalise(F.concat_ws(" ", "p_name", F.when(k % 5 == 0, "Back - Forward").otherwise(F.col("p_type"))))
+    url = F.when(k % 3 == 0, F.concat(F.lit("https://www.brand"), F.col("p_size").cast("string"), F.lit(".example/x")))
+    categories = F.concat(F.array("p_type", "p_brand"), F.when(k % 4 == 0, F.array(F.lit("Brushed"))).otherwise(F.array().cast("array<string>")))
+    aliases = F.concat(F.slice(F.array(F.lit("The Economy")), F.lit(1), (k % 2).cast("int")), F.when(k % 6 == 0, F.array(F.lit("y br"), F.lit("x"))).otherwise(F.array(F.lit("b"))))
+    found = R.name_factors(p, norm, F.when(k % 7 == 0, "New  Tab").otherwise(F.col("p_name")), url, categories, aliases)
+    factor = found[0] * found[1] * found[2] * found[3]
+    return table(spark, d, "part").select(k.alias("id"), F.round(factor, 6).alias("factor"))
+
+
+@query("k03_oldest_first", M + "SELECT id, row_number() OVER (ORDER BY us, id) AS place FROM m")
+def _(spark, d):
+    return K.oldest_first(memories(spark, d)).select("id", "place")
+
+
+_SPOKEN = ["the", "data", "and", "please"]
+
+
+@query("k11_spoken_hits", "WITH s AS (SELECT conv_id AS meeting, turn * 7 % 5 AS start, turn AS index, (" + " + ".join(f"contains(lower(coalesce(text, '')), '{t}')::INT" for t in _SPOKEN) + f") / {len(_SPOKEN)} AS score FROM conversations) SELECT meeting, start, index, score FROM s WHERE score > 0 ORDER BY score DESC, start, index, meeting LIMIT 25")
+def _(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("meeting"), (F.col("turn") * 7 % 5).alias("start"), F.col("turn").alias("index"), "text")
+    return K.spoken_hits(c, _SPOKEN, 25).drop("text")

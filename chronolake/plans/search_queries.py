@@ -255,9 +255,16 @@ _ASKED = {
 }
 
 
-@query("r02_planner_intent", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{i}')" for q, i in _ASKED.items()) + ") AS t(query, intent)")
+_OPENINGS = [*_ASKED, "Timeline,", "What are", "How can I sort", "Why does", "the meaning of", "Meaning of", "Sequence-of", "picked-up", "find"]
+_INTENT_SQL = " ".join(f"WHEN {' OR '.join(f"contains(n, '{x}')" for x in parts)} THEN '{intent}'" for intent, parts in R.INTENT_WORDS)
+
+
+@query("r02_planner_intent", f"""WITH q AS (SELECT p_partkey AS id, {_OPENINGS}[p_partkey % {len(_OPENINGS)} + 1] || ' ' || p_name AS query FROM part), n AS (SELECT id, query, trim(regexp_replace(lower(query), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS n FROM q)
+SELECT id, query, CASE {_INTENT_SQL} WHEN regexp_matches(n, '^(why is |why does |what is|what are|define|meaning of)') THEN 'definition' WHEN regexp_matches(n, '^how (to|do|can)') THEN 'how_to' ELSE 'lookup' END AS intent FROM n""")
 def _(spark, d):
-    return spark.createDataFrame([(q, R.plan(q)["intent"]) for q in _ASKED], "query string, intent string")
+    k = F.col("p_partkey")
+    opening = F.element_at(F.array(*[F.lit(x) for x in _OPENINGS]), (k % len(_OPENINGS) + 1).cast("int"))
+    return table(spark, d, "part").select(k.alias("id"), F.concat_ws(" ", opening, "p_name").alias("query")).withColumn("intent", R.planner_intents(F.col("query")))
 
 
 @query("r20_token_budget", "SELECT doc_id AS id FROM (SELECT doc_id, sum(length(text)) OVER (ORDER BY n_chars DESC, doc_id) AS used FROM (SELECT * FROM documents WHERE text IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 40)) WHERE used <= 4 * 100000")

@@ -110,6 +110,15 @@ def test_gate_and_diversity(spark):
     assert [r.id for r in R.diversify(kept, 5).orderBy("place").collect()] == [1, 3]
 
 
+def test_intents_of_a_column_are_those_of_single_questions(spark):
+    from chronolake.plans.search_queries import _ASKED
+
+    asked = [*_ASKED, "Why is it broken?", "DEFINE x", "what are", "how do I", "", "seen before: continue"]
+    got = spark.createDataFrame([(q,) for q in asked], "q string").select("q", R.planner_intents(F.col("q")).alias("i")).collect()
+    assert {r.q: r.i for r in got} == {q: R.planner_intent(R.Profile(q)) for q in asked}
+    assert all(R.plan(q)["intent"] == i for q, i in _ASKED.items())
+
+
 def test_gates_of_a_pool(spark):
     rows = [(1, "gamma", 0.2, 0), (2, "rust 7 beta", 0.9, 5), (3, "beta only", 0.29, 5), (4, "rust", 0.28, 5), (5, "beta rust 7", 0.5, 5)]
     pool = R.with_text(spark.createDataFrame(rows, "id long, text string, score double, us long"), F.col("text")).withColumn("signal", F.lit(0.0))
