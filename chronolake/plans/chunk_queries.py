@@ -23,9 +23,11 @@ def _(spark, d):
     return C.salient(C.chunked(_docs(spark, d), "doc_id", "source", "text"), "doc_id", 3).select("doc_id", "rank", "chunk_index", F.round("score", 6).alias("score"))
 
 
-@query("t21_narration", "SELECT doc_id FROM documents WHERE starts_with(lower(trim(text)), 'the user is') OR starts_with(lower(trim(text)), 'the screen shows')")
+@query("t21_narration", "WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' The user is ' || text WHEN 1 THEN 'THE SCREEN SHOWS ' || text ELSE text END AS text FROM documents) SELECT doc_id FROM x WHERE starts_with(lower(trim(text)), 'the user is') OR starts_with(lower(trim(text)), 'the screen shows')")
 def _(spark, d):
-    return _docs(spark, d).where(C.narration(F.col("text"))).select("doc_id")
+    k, text = F.col("doc_id") % 5, F.col("text")
+    told = F.when(k == 0, F.concat(F.lit(" The user is "), text)).when(k == 1, F.concat(F.lit("THE SCREEN SHOWS "), text)).otherwise(text)
+    return _docs(spark, d).where(C.narration(told)).select("doc_id")
 
 
 @query("t24_task_types", "SELECT o_orderkey, CASE WHEN lower(o_orderpriority) LIKE '%reply to%' THEN 'followup' WHEN lower(o_orderpriority) LIKE '%due %' OR lower(o_orderpriority) LIKE '%today%' THEN 'reminder' ELSE 'todo' END AS type FROM orders")

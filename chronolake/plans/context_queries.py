@@ -36,9 +36,9 @@ def _(spark, d):
     return C.related_ids(c, ["parent", "near"])
 
 
-@query("j12_linked_tasks", "SELECT o_orderkey AS id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l_orderkey IN (o.o_orderkey, o.o_orderkey + 1) AND l_returnflag = o.o_orderstatus)")
+@query("j12_linked_tasks", "SELECT o_orderkey AS id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l_orderkey IN (o.o_orderkey, o.o_orderkey + 1) AND l_returnflag = CASE o.o_orderstatus WHEN 'O' THEN 'N' WHEN 'F' THEN 'R' ELSE 'A' END)")
 def _(spark, d):
-    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("project"), F.col("o_orderkey").alias("source"), F.array(F.col("o_orderkey") + 1).alias("linked"))
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.translate("o_orderstatus", "OFP", "NRA").alias("project"), F.col("o_orderkey").alias("source"), F.array(F.col("o_orderkey") + 1).alias("linked"))
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("project"))
     return C.linked_tasks(t, e).select("id")
 
@@ -121,12 +121,12 @@ def _(spark, d):
 
 @query("g15_entities")
 def _(spark, d):
-    return C.entity_nodes(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text"), "text")
+    return C.entity_nodes(table(spark, d, "pages").where("html is not null").select(F.col("page_id").alias("id"), F.concat_ws(" ", "html", "url").alias("text")), "text")
 
 
-@query("g28_node_text", "SELECT n_nationkey AS id FROM nation WHERE lower(n_name) LIKE '%an%' OR CAST(n_nationkey AS VARCHAR) LIKE '%an%'")
+@query("g28_node_text", "SELECT n_nationkey AS id FROM nation WHERE contains(lower(n_name), 'tion_1')")
 def _(spark, d):
-    return C.node_text_search(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label")), "AN").select("id")
+    return C.node_text_search(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label")), "TION_1").select("id")
 
 
 @query("r38_explanation")

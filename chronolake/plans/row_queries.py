@@ -515,9 +515,9 @@ def _(spark, d):
     return B.insert_dedup(memories(spark, d), "props", "value").select("id")
 
 
-@query("u05_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("u05_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)")
 def _(spark, d):
-    return U.difference(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return U.difference(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("u06_list_merge", "SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey")

@@ -194,10 +194,10 @@ def _(spark, d):
     return R.temporal_route(m.where(T.relative_filter(F.col("ts"), "24h", now)), T.age_hours(F.col("ts"), now), 24, 50).select("id", F.round("score", 6).alias("score"))
 
 
-@query("r12_entity_route", "WITH x AS (SELECT n_nationkey AS id, lower(n_name) AS l, 0.9 AS c FROM nation) SELECT id, round(CASE WHEN l = 'nation_3' OR regexp_replace(l, '[^\\p{L}\\p{N}]+', ' ', 'g') = 'fra' THEN 1.0 WHEN regexp_replace(l, '[^\\p{L}\\p{N}]+', ' ', 'g') LIKE 'fra%' THEN 0.82 ELSE 0 END * 0.95 * c, 6) AS score FROM x WHERE regexp_replace(l, '[^\\p{L}\\p{N}]+', ' ', 'g') LIKE 'fra%'")
+@query("r12_entity_route", "WITH x AS (SELECT n_nationkey AS id, lower(n_name) AS l, 0.9 AS c FROM nation) SELECT id, round(CASE WHEN l = 'nation 1' OR regexp_replace(l, '[^\\p{L}\\p{N}]+', ' ', 'g') = 'nation 1' THEN 1.0 WHEN regexp_replace(l, '[^\\p{L}\\p{N}]+', ' ', 'g') LIKE 'nation 1%' THEN 0.82 ELSE 0 END * 0.95 * c, 6) AS score FROM x WHERE regexp_replace(l, '[^\\p{L}\\p{N}]+', ' ', 'g') LIKE 'nation 1%'")
 def _(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit("place").alias("kind"), F.lit(0.9).alias("confidence"))
-    return R.entity_route(n, ["Fra"], {"place": 0.95}).select("id", F.round("score", 6).alias("score"))
+    return R.entity_route(n, ["Nation 1"], {"place": 0.95}).select("id", F.round("score", 6).alias("score"))
 
 
 @query("r14_route_fusion", "WITH h AS (SELECT p_partkey AS id, 'vector' AS route, p_size / 50 AS score FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, 'keyword', 0.6 FROM part WHERE p_name LIKE '%ring%') SELECT id, round(sum(score * CASE route WHEN 'vector' THEN 0.35 ELSE 0.3 END), 6) AS score, round(max(score), 6) AS best, string_agg(DISTINCT route, ',' ORDER BY route) AS routes FROM h GROUP BY id ORDER BY sum(score * CASE route WHEN 'vector' THEN 0.35 ELSE 0.3 END) DESC, id LIMIT 50")
