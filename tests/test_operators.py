@@ -188,3 +188,25 @@ def test_bridges_of_a_large_component(spark):
     nodes = adj.select(F.col("a").alias("id")).distinct()
     got = [r.id for r in G.bridges(nodes, adj, nodes.withColumn("component", F.lit(0))).collect()]
     assert sorted(got) == [*range(10), 19, *range(7000, 7030)]
+
+
+def _all_pairs(rows, fits):
+    return sorted({(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and fits(a, b)})
+
+
+def test_related_pairs_come_once_and_are_not_shuffled(spark):
+    from itertools import product
+
+    from chronolake.operators import joins as J
+
+    rows = [(i, t, e) for i, (t, e) in enumerate(product(["s", "t", None], [["x"], ["x", "y"], ["y", "x", "x"], ["z", None], [None], [], None]))]
+    rows += [(100, "s", ["y"]), (100, "t", ["x"]), (101, "s", ["y", "z"]), (101, "t", ["x"]), (None, "s", ["x"])]
+    keys = {}
+    for i, t, e in rows:
+        keys.setdefault(i, set()).update((t, w) for w in e or [] if t is not None and w is not None)
+    want = _all_pairs([(i, k) for i, k in keys.items() if i is not None], lambda a, b: a[1] & b[1])
+    out = J.related(spark.createDataFrame(rows, "id long, topic string, entities array<string>"))
+    assert sorted(map(tuple, out.collect())) == want
+    assert not any(line.lstrip("+-: *").startswith("HashAggregate(keys=[a#") for line in out._jdf.queryExecution().toString().splitlines())
+    many = spark.range(2500).selectExpr("id", "'t' as topic", "array('w') as entities")
+    assert J.related(many).agg({"a": "count"}).first()[0] == 2500 * 2499 // 2
