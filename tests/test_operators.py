@@ -197,8 +197,6 @@ def _all_pairs(rows, fits):
 def test_related_pairs_come_once_and_are_not_shuffled(spark):
     from itertools import product
 
-    from chronolake.operators import joins as J
-
     rows = [(i, t, e) for i, (t, e) in enumerate(product(["s", "t", None], [["x"], ["x", "y"], ["y", "x", "x"], ["z", None], [None], [], None]))]
     rows += [(100, "s", ["y"]), (100, "t", ["x"]), (101, "s", ["y", "z"]), (101, "t", ["x"]), (None, "s", ["x"])]
     keys = {}
@@ -210,3 +208,12 @@ def test_related_pairs_come_once_and_are_not_shuffled(spark):
     assert not any(line.lstrip("+-: *").startswith("HashAggregate(keys=[a#") for line in out._jdf.queryExecution().toString().splitlines())
     many = spark.range(2500).selectExpr("id", "'t' as topic", "array('w') as entities")
     assert J.related(many).agg({"a": "count"}).first()[0] == 2500 * 2499 // 2
+
+
+def test_contradictions_of_one_project_are_spread_over_tasks(spark):
+    rows = [(1, "p", True), (2, "p", False), (2, "p", False), (3, None, True), (4, "p", None), (None, "p", False), (5, "q", True), (0, "q", False)]
+    out = J.contradictions(spark.createDataFrame(rows, "id long, project string, neg boolean"), F.col("neg"))
+    assert sorted(map(tuple, out.collect())) == [("p", 1, 1), ("p", 1, 2), ("p", 1, 2), ("q", 0, 5)]
+    big = J.contradictions(spark.range(20000).coalesce(1).selectExpr("id", "cast(id % 1 as string) as project"), F.col("id") % 4 == 0)
+    at = big.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in at) == 5000 * 15000 and max(r["count"] for r in at) < 5000 * 15000 // 2
