@@ -1,6 +1,9 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronolake.functions import vector as V
+from chronolake.operators import context as C
 from chronolake.operators import graph as G
 from chronolake.operators import joins as J
 from chronolake.operators import retrieval as R
@@ -217,3 +220,20 @@ def test_contradictions_of_one_project_are_spread_over_tasks(spark):
     big = J.contradictions(spark.range(20000).coalesce(1).selectExpr("id", "cast(id % 1 as string) as project"), F.col("id") % 4 == 0)
     at = big.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in at) == 5000 * 15000 and max(r["count"] for r in at) < 5000 * 15000 // 2
+
+
+def test_nearest_ranks_as_the_plain_join_does(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [((i * 37 + j * 11) % 17 - 8) / 3.0 for j in range(4)]) for i in range(90)]  # some repeat
+    rows += [(100 + i, [1.0, 2.0, 0.5, -1.0]) for i in range(25)] + [(130 + i, [0.0] * 4) for i in range(14)] + [(100, [1.0, 2.0, 0.5, -1.0]), (120, [1.0, 0.0, 0.0, 3.0])]
+    rows += [(150, [None, 1.0, 0.0, 0.0]), (151, [nan, 1.0, 0.0, 0.0]), (152, [inf, 1.0, 0.0, 0.0]), (153, []), (154, None), (155, [1.0]), (156, [2.0]), (None, [1.0] * 4), (160, []), (180, [2.0, 4.0, 1.0, -2.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = df.where("id % 10 = 0 or id > 149")
+    pairs = df.join(q.select(F.col("id").alias("qid"), F.col("embedding").alias("q")), (F.size("embedding") == F.size("q")) & (F.col("id") != F.col("qid")))
+    pairs = pairs.select(F.col("qid").alias("id"), F.col("id").alias("peer"), V.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "peer"))).where("rank <= 5")
+    for block, chunk in ((4096, 8192), (20, 7)):
+        got = C.nearest(df, q, 5, block, chunk)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan
