@@ -67,3 +67,8 @@ def test_memory_nodes_round_as_the_sql(spark, tmp_path):
 
 def test_memory_edges_round_as_the_sql(spark, tmp_path):
     assert same_as_sql(spark, parts(tmp_path), "g15_memory_edges")
+
+
+def test_concentration_without_spans_is_the_sqls(spark, tmp_path):
+    duckdb.execute(f"COPY (SELECT * FROM (VALUES (11, 'Erö.'), (22, NULL), (33, 'We decided to fix the blocker.'), (5, 'x')) t(doc_id, text)) TO '{tmp_path}/documents.parquet'")
+    assert same_as_sql(spark, tmp_path, "t12_concentration")
