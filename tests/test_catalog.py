@@ -72,3 +72,10 @@ def test_memory_edges_round_as_the_sql(spark, tmp_path):
 def test_concentration_without_spans_is_the_sqls(spark, tmp_path):
     duckdb.execute(f"COPY (SELECT * FROM (VALUES (11, 'Erö.'), (22, NULL), (33, 'We decided to fix the blocker.'), (5, 'x')) t(doc_id, text)) TO '{tmp_path}/documents.parquet'")
     assert same_as_sql(spark, tmp_path, "t12_concentration")
+
+
+def test_difference_takes_every_order(spark, tmp_path):
+    duckdb.execute(f"COPY (SELECT i AS c_custkey FROM range(9) r(i)) TO '{tmp_path}/customer.parquet'")
+    duckdb.execute(f"COPY (SELECT i + 1 AS o_orderkey, i AS o_custkey FROM range(5) r(i)) TO '{tmp_path}/orders.parquet'")
+    assert sorted(r[0] for r in catalog.queries()["u05_difference"](spark, str(tmp_path)).collect()) == [5, 6, 7, 8]
+    assert same_as_sql(spark, tmp_path, "u05_difference")
