@@ -97,3 +97,20 @@ def test_no_targets_in_empty_tables(spark):
     none = spark.createDataFrame([], "id long, us long, app string, url string, title string, snippet string, text string, shadow string, embedding array<double>")
     assert M.best_targets(none, none).count() == 0
     assert M.continued(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_history_folds_many_parts_in_one_job(spark, sf, tmp_path, monkeypatch):
+    hour = M.DAY // 24
+    df = Q.stored(spark, sf)
+    rows = [r.asDict() for r in H.prepared(df, hour).collect()]
+    assert len({r["part"] for r in rows}) > 6
+    real, calls = H._fold_part, []
+    monkeypatch.setattr(H, "_fold_part", lambda *a: (calls.append(a[-1]), real(*a)))
+    path = f"file://{tmp_path}/hours"
+    H.merge_history(df, path, hour, stop_after=3)
+    monkeypatch.setattr(H, "BATCH_ROWS", 60, raising=False)
+    got = {r.id: (r.target, r.by) for r in H.merge_history(df, path, hour).collect()}
+    assert got == folded(rows) and len(calls) < len({r["part"] for r in rows}) // 2
+    before = len(calls)
+    H.merge_history(df, path, hour)
+    assert len(calls) == before
