@@ -57,7 +57,7 @@ def same_as_sql(spark, folder, name):
 
 
 def parts(folder):
-    duckdb.execute(f"COPY (SELECT i AS p_partkey, 'Brand#' || (i % 25) AS p_brand, 'blue rod' AS p_name, 'SMALL' AS p_type, (i % 50 + 1)::INTEGER AS p_size FROM range(4000) r(i)) TO '{folder}/part.parquet'")
+    duckdb.execute(f"COPY (SELECT i AS p_partkey, 'Brand#' || (i % 25) AS p_brand, 'blue rod' AS p_name, 'SMALL' AS p_type, (i // 100 % 50 + 1)::INTEGER AS p_size FROM range(5000) r(i)) TO '{folder}/part.parquet'")
     return folder
 
 
