@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,25 +123,41 @@ def islands(df: DataFrame, key: list[str], span_us: int) -> DataFrame:
     return df.withColumn("_start", start).withColumn("_part", F.floor(F.last("_start", ignorenulls=True).over(w) / 86_400_000_000)).drop("_start")
 
 
+def spans(df: DataFrame, key: list[str], span_us: int, *order) -> DataFrame:
+    """df with _no, the number (from 0) of each row's span in its key, and _new, whether the row begins it.
+
+    Rows come in ``order``; one more than ``span_us`` from its span's first row begins
+    the next. Each task passes over its keys' sorted rows in batches and carries one
+    row, so neither many small keys nor a long one cost a call or memory. Rows
+    without us take no part.
+    """
+
+    def f(batches):
+        now, first, no = None, None, -1
+        for b in batches:
+            numbers, new = [], []
+            for k, us in zip(zip(*[b.column(c).to_pylist() for c in key]), b.column("us").to_pylist()):
+                if k != now:
+                    now, first, no = k, None, -1
+                begins = first is None or abs(us - first) > span_us
+                if begins:
+                    first, no = us, no + 1
+                numbers.append(no)
+                new.append(begins)
+            columns = [*b.columns, pa.array(numbers, pa.int64()), pa.array(new, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "_no", "_new"])
+
+    rows = df.where("us is not null").repartition(*key).sortWithinPartitions(*key, *order)
+    return rows.mapInArrow(f, ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + ", _no long, _new boolean")
+
+
 def anchored_groups(df: DataFrame, key: str, minutes: int = 5) -> DataFrame:
     """Greedy groups by key, newest first: a row joins while it is within ``minutes`` of the group's first row.
 
-    One pandas call works the islands of a key that begin on one day, also past midnight; group_no counts inside part.
+    part is the day on which the row's island begins; group_no counts inside part.
     """
-
-    def f(pdf):
-        pdf = pdf.sort_values(["us", "id"], ascending=[False, True])
-        anchor, no, out = None, -1, []
-        for us in pdf["us"]:
-            if anchor is None or anchor - us > minutes * 60_000_000:
-                anchor, no = us, no + 1
-            out.append(no)
-        pdf["group_no"] = out
-        return pdf[["id", key, "part", "group_no"]]
-
-    fields = dict(df.dtypes)
     rows = islands(df.select("id", key, "us"), [key], minutes * 60_000_000).withColumnRenamed("_part", "part")
-    return rows.groupBy(key, "part").applyInPandas(f, f"id {fields['id']}, {key} {fields[key]}, part long, group_no long")
+    return spans(rows, [key, "part"], minutes * 60_000_000, F.desc("us"), "id").select("id", key, "part", F.col("_no").alias("group_no"))
 
 
 def switch_alerts(df: DataFrame, key: str, ring: int = 15, least_rows: int = 8, least_distinct: int = 6) -> DataFrame:

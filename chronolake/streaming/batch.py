@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.windows import best_per_key, islands
+from ..operators.windows import best_per_key, spans
 
 
 def sliding_dedup(df: DataFrame, key: list[str], seconds: int) -> DataFrame:
@@ -15,20 +15,8 @@ def sliding_dedup(df: DataFrame, key: list[str], seconds: int) -> DataFrame:
 
 
 def tumbling_dedup(df: DataFrame, key: list[str], seconds: int) -> DataFrame:
-    """Rows that begin a span of ``seconds`` of their key; the next span begins with the first row after it. One pandas call works the islands of a key that begin on one day, also past midnight."""
-    kinds = dict(df.dtypes)
-    out = ", ".join(f"{c} {k}" for c, k in kinds.items())
-
-    def f(pdf):
-        pdf = pdf.sort_values(["us", "id"])
-        last, keep = None, []
-        for us in pdf["us"]:
-            new = last is None or us - last > seconds * 1_000_000
-            keep.append(new)
-            last = us if new else last
-        return pdf[keep][list(kinds)]
-
-    return islands(df, key, seconds * 1_000_000).groupBy(*key, "_part").applyInPandas(f, out)
+    """Rows that begin a span of ``seconds`` of their key; the next span begins with the first row after it."""
+    return spans(df, key, seconds * 1_000_000, "us", "id").where("_new").drop("_no", "_new")
 
 
 def insert_dedup(df: DataFrame, key: str, signal: str) -> DataFrame:
