@@ -179,24 +179,59 @@ def chunk_hits(chunks: DataFrame, parents: DataFrame, k: int) -> DataFrame:
     return best.join(parents, best.parent == parents.id).orderBy(F.desc("score"), "distance", "parent").limit(k)
 
 
+def _stemming_to(t: str) -> list[str]:
+    """The words whose stem (``X.stem``) is t."""
+    def stem(w):
+        for end, least, put in (("ies", 4, "y"), ("ing", 5, ""), ("ed", 4, ""), ("es", 4, ""), ("s", 3, "")):
+            if len(w.encode()) > least and w.endswith(end):
+                return w[: -len(end)] + put
+        return w
+
+    return [w for w in (t, t + "s", t + "es", t + "ed", t + "ing", *([t[:-1] + "ies"] if t.endswith("y") else [])) if stem(w) == t]
+
+
+def _says(norm: Column, words: str) -> Column:
+    """Whether a normalised text holds these neighbouring words."""
+    return F.concat(F.lit(" "), norm, F.lit(" ")).contains(f" {words} ")
+
+
+def _has_token(norm: Column):
+    """Whether a normalised text holds a word or one of that stem, as its tokens with stems would."""
+    return lambda t: _any([_says(norm, w) for w in dict.fromkeys([t, *_stemming_to(t)])])
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once, whatever reads it: filters on it are not moved before it."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def coverage(p: Profile, tokens: Column) -> Column:
     """Share of primary terms among the tokens; numbers count as one more term."""
+    return _coverage(p, lambda t: F.array_contains(tokens, t))
+
+
+def text_coverage(p: Profile, norm: Column) -> Column:
+    """``coverage`` of a normalised text's words and stems, without making them."""
+    return _coverage(p, _has_token(norm))
+
+
+def _coverage(p: Profile, has) -> Column:
     if not p.primary:
         return F.lit(0.0)
-    hits = _add([F.array_contains(tokens, t).cast("double") for t in p.primary])
+    hits = _add([has(t).cast("double") for t in p.primary])
     n = len(p.primary)
     if p.numbers:
-        hits, n = hits + _any([F.array_contains(tokens, x) for x in p.numbers]).cast("double"), n + 1
+        hits, n = hits + _any([has(x) for x in p.numbers]).cast("double"), n + 1
     return hits / float(n)
 
 
-def phrase_alignment(p: Profile, norm: Column, pairs: Column) -> Column:
-    """1 if the text holds the phrase, else the share of its word pairs that the text has."""
+def phrase_alignment(p: Profile, norm: Column, pairs: Column | None = None) -> Column:
+    """1 if the text holds the phrase, else the share of its word pairs that the text has (by its pairs, or looked for in the normalised text)."""
     if not p.phrase:
         return F.lit(0.0)
     w = p.phrase.split()
     own = list(dict.fromkeys(" ".join(x) for x in zip(w, w[1:])))
-    share = _add([F.array_contains(pairs, x).cast("double") for x in own]) / float(max(1, len(own)))
+    share = _add([(_says(norm, x) if pairs is None else F.array_contains(pairs, x)).cast("double") for x in own]) / float(max(1, len(own)))
     return F.when(norm.contains(p.phrase), 1.0).otherwise(share)
 
 
@@ -206,7 +241,7 @@ def mentions(p: Profile, tokens: Column) -> Column:
 
 def with_text(df: DataFrame, text: Column) -> DataFrame:
     """Add the derived columns that scoring reads: norm, word list, tokens with stems, word pairs."""
-    d = df.withColumn("norm", X.normalise(text)).withColumn("wordlist", F.filter(F.split("norm", " "), lambda w: w != ""))
+    d = once(df, "norm", X.normalise(text)).withColumn("wordlist", F.filter(F.split("norm", " "), lambda w: w != ""))
     return d.withColumn("toks", F.array_distinct(F.concat("wordlist", F.transform("wordlist", X.stem)))).withColumn("pairs", X.bigrams(F.col("wordlist")))
 
 
@@ -214,19 +249,25 @@ def bm25(pool: DataFrame, p: Profile, name: str = "bm25") -> DataFrame:
     """BM25-like score over the pool (k1 1.2, b .75); a word counts as itself and as its stem; +.9 phrase alignment.
 
     The pool's size, mean length and document frequencies are one aggregate row.
+    Of norm, the normalised text, only the words that count are kept; no stems are made.
     """
-    df_of = [F.coalesce(F.sum(F.array_contains("toks", t).cast("double")), F.lit(0.0)).alias(f"_df{i}") for i, t in enumerate(p.expanded)]
-    stats = pool.agg(F.count("*").cast("double").alias("_n"), F.greatest(F.lit(1.0), F.avg(F.size("wordlist"))).alias("_len"), *df_of)
+    norm, hits = F.col("norm"), F.col("_hits")
+    wanted = {t: list(dict.fromkeys([t, *_stemming_to(t)])) for t in p.expanded}
+    pool = once(pool, "_hits", F.filter(F.split("norm", " "), lambda w: w.isin([w for ws in wanted.values() for w in ws])))
+    has = lambda t: F.exists(hits, lambda w: w.isin(wanted[t]))
+    df_of = [F.coalesce(F.sum(has(t).cast("double")), F.lit(0.0)).alias(f"_df{i}") for i, t in enumerate(p.expanded)]
+    size = F.when(norm == "", 0).otherwise(F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
+    stats = pool.agg(F.count("*").cast("double").alias("_n"), F.greatest(F.lit(1.0), F.avg(size)).alias("_len"), *df_of)
     x = pool.join(F.broadcast(stats))  # one row
-    length = F.greatest(F.size("wordlist"), F.lit(1)).cast("double")
+    length = F.greatest(size, F.lit(1)).cast("double")
     parts = []
     for i, t in enumerate(p.expanded):
-        tf = F.size(F.filter("wordlist", lambda w: w == t)) + F.size(F.filter("wordlist", lambda w: X.stem(w) == t))
+        tf = F.size(F.filter(hits, lambda w: w == t)) + F.size(F.filter(hits, lambda w: w.isin(_stemming_to(t))))
         d = F.greatest(F.col(f"_df{i}"), F.lit(0.0))
         idf = F.log((F.col("_n") - d + 0.5) / (d + 0.5) + 1)
         parts.append(F.when(tf > 0, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / F.col("_len")))).otherwise(0.0))
-    out = x.withColumn(name, _add(parts) + 0.9 * phrase_alignment(p, F.col("norm"), F.col("pairs")))
-    return out.drop("_n", "_len", *[f"_df{i}" for i in range(len(p.expanded))])
+    out = once(x, name, _add(parts) + 0.9 * phrase_alignment(p, norm))
+    return out.drop("_n", "_len", "_hits", *[f"_df{i}" for i in range(len(p.expanded))])
 
 
 def _ranged(c: str) -> Column:

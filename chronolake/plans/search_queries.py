@@ -121,7 +121,8 @@ def _(spark, d):
 def _(spark, d):
     p = R.Profile(SEARCH)
     docs = R.with_text(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text"), F.col("text"))
-    return docs.select("id", F.round(R.phrase_alignment(p, F.col("norm"), F.col("pairs")), 6).alias("phrase"), F.round(R.coverage(p, F.col("toks")), 6).alias("coverage")).where("phrase > 0 OR coverage > 0")
+    found = F.struct(F.round(R.phrase_alignment(p, F.col("norm")), 6).alias("phrase"), F.round(R.text_coverage(p, F.col("norm")), 6).alias("coverage"))
+    return R.once(docs.select("id", "norm"), "found", found).select("id", "found.*").where("phrase > 0 OR coverage > 0")
 
 
 @query("l19_signal_strength", "SELECT doc_id AS id, round(0.24 * 0.9 + 0.28 * (1 - least(n_chars / 100000, 1)) + 0.18 * CASE lang WHEN 'llm' THEN 1 ELSE 0.58 END + 0.16 * least(len(list_filter(string_split(trim(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '')), 24) / 24 + 0.14 * least(n_chars // 6, 80) / 80, 6) AS signal FROM documents WHERE text IS NOT NULL")

@@ -30,3 +30,17 @@ def test_spans_in_one_pass(spark):
     assert sorted(r.id for r in out.collect()) == sorted(want)
     groups = W.anchored_groups(df.where("us is not null"), "k", 5)
     assert "FlatMapGroups" not in plan(out) + plan(groups)  # no call for each small group
+
+
+def test_bm25_and_coverage_without_stems(spark):
+    p = R.Profile("running studies boxes 42 of the red")
+    texts = ["Running STUDIES, boxes", "run studied box 42", "study study studies; red-reds", "", "xrunning running's", "the red running 420", "éstudies ties tie", "boxe boxes boxs boxing"]
+    docs = R.with_text(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), F.col("text"))
+    both = docs.select("id", R.coverage(p, F.col("toks")).alias("a"), R.text_coverage(p, F.col("norm")).alias("b"), R.phrase_alignment(p, F.col("norm"), F.col("pairs")).alias("c"), R.phrase_alignment(p, F.col("norm")).alias("d"))
+    assert all(r.a == r.b and r.c == r.d for r in both.collect())
+    got = {r.id: r for r in docs.collect()}
+    want = {t: {i: sum(w == t for w in r.wordlist) + sum(s == t for s in r.stems) for i, r in ((r.id, r) for r in docs.withColumn("stems", F.transform("wordlist", X.stem)).collect())} for t in p.expanded}
+    out = R.bm25(docs, p)
+    assert "stem" not in plan(out) and plan(out.where("bm25 > 0")).count("[^\\p{L}\\p{N}]+") <= 2  # the text is normalised once for the statistics and once for the scores
+    for r in out.collect():
+        assert (r.bm25 > 0) == (any(want[t][r.id] for t in p.expanded) or any(x in got[r.id].pairs for x in ("running studies", "studies boxes", "the red")))
