@@ -44,3 +44,12 @@ def test_bm25_and_coverage_without_stems(spark):
     assert "stem" not in plan(out) and plan(out.where("bm25 > 0")).count("[^\\p{L}\\p{N}]+") <= 2  # the text is normalised once for the statistics and once for the scores
     for r in out.collect():
         assert (r.bm25 > 0) == (any(want[t][r.id] for t in p.expanded) or any(x in got[r.id].pairs for x in ("running studies", "studies boxes", "the red")))
+
+
+def test_lines_are_rated_once(spark):
+    one = spark.range(1).select(F.lit("Google Chrome").alias("app"), F.lit(" a\t b\x0b\n\n  (x/y), z\\w c.rs d_e.f \n[LOW_CONF] Hello  there, good people of the town\n").alias("text"))
+    out = one.select(L.high_signal(F.col("app"), F.col("text")).alias("h"), L.noise(F.col("app"), F.col("text")).alias("n"), F.col("app"))
+    row = out.first()
+    assert (row.h.text, row.h.total, row.h.kept, row.h.low, row.h.noise, row.n) == ("Hello there, good people of the town", 3, 1, 1, 2, 2 / 3)
+    rule = spark.range(1).select(L.dropped(L.app_kind(F.lit("x")), F.col("id").cast("string")).alias("d"))
+    assert rule._jdf.queryExecution().analyzed().toString().count("[\\p{L}\\p{N}\\s]+") == 1
