@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +43,7 @@ KINDS = [
     ("code", re.compile(r"^\s*([$>]|(cargo|npm|pnpm|git|fn|let) )| => |::|\{.*\}|\}.*\{|(?=.*\()(?=.*\)).*;", re.I)),
 ]
 ALONE = {"code", "email", "search"}
+TEXTS = 128  # texts whose chunks a task holds at a time
 
 
 def kind_of(line: str) -> str:
@@ -110,7 +111,10 @@ def chunks(title: str, text: str, s: Sizes = Sizes()) -> list[tuple[str, str]]:
         if len(body) >= s.high:
             close(True)
     close(False)
-    return _joined([c for i, c in enumerate(out) if c[1].lower() not in {o[1].lower() for o in out[:i]}], s)
+    first: dict[str, tuple[str, str]] = {}
+    for c in out:
+        first.setdefault(c[1].lower(), c)
+    return _joined(list(first.values()), s)
 
 
 def _joined(parts: list[tuple[str, str]], s: Sizes) -> list[tuple[str, str]]:
@@ -129,12 +133,16 @@ def chunked(df: DataFrame, key: str, title: str, text: str, sizes: Sizes = Sizes
     ship(df.sparkSession)
     types = dict(df.dtypes)
 
-    def f(frames):
-        for pdf in frames:
-            rows = [(k, i, kind, body, len(body) // 4) for k, t, x in pdf.itertuples(index=False) for i, (kind, body) in enumerate(chunks(t, x, sizes))]
-            yield pd.DataFrame(rows, columns=["key", "chunk_index", "kind", "text", "tokens"])
+    def f(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):  # a batch's chunks are never held together
+                part = batch.slice(at, TEXTS)
+                rows = [(n, i, kind, body, len(body) // 4) for n, (t, x) in enumerate(zip(*[part.column(c).to_pylist() for c in (1, 2)])) for i, (kind, body) in enumerate(chunks(t, x, sizes))]
+                n, *cols = zip(*rows) if rows else [()] * 5
+                arrays = [part.column(0).take(pa.array(n, pa.int32())), *map(pa.array, cols, (pa.int32(), pa.string(), pa.string(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "chunk_index", "kind", "text", "tokens"])
 
-    out = df.select(key, F.coalesce(F.col(title), F.lit("")).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("x")).mapInPandas(f, f"key {types[key]}, chunk_index int, kind string, text string, tokens int")
+    out = df.select(key, F.coalesce(F.col(title), F.lit("")).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("x")).mapInArrow(f, f"key {types[key]}, chunk_index int, kind string, text string, tokens int")
     return out.withColumnRenamed("key", key)
 
 

@@ -53,3 +53,16 @@ def test_lines_are_rated_once(spark):
     assert (row.h.text, row.h.total, row.h.kept, row.h.low, row.h.noise, row.n) == ("Hello there, good people of the town", 3, 1, 1, 2, 2 / 3)
     rule = spark.range(1).select(L.dropped(L.app_kind(F.lit("x")), F.col("id").cast("string")).alias("d"))
     assert rule._jdf.queryExecution().analyzed().toString().count("[\\p{L}\\p{N}\\s]+") == 1
+
+
+def test_chunks_of_a_long_text():
+    text = "\n".join(f"line {i} about the matter {i * 7919 % 100_003} and some more words of it" for i in range(160_000))
+    start = time.time()
+    parts = C.chunks("t", text)
+    assert len(parts) > 10_000 and time.time() - start < 20  # each chunk was compared with all before it
+
+
+def test_chunks_come_in_small_batches(spark):
+    df = spark.range(1000, numPartitions=1).select("id", F.lit("t").alias("t"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("some words of row "), F.col("id").cast("string"))).alias("x"))
+    out = C.chunked(df, "id", "t", "x")
+    assert "MapInArrow" in plan(out) and {r.id for r in out.collect()} >= {i for i in range(1000) if i % 3}
