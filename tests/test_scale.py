@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import lines as L
 from chronolake.functions import text as X
+from chronolake.llm import line_dedup as D
 from chronolake.operators import chunking as C
 from chronolake.operators import retrieval as R
+from chronolake.operators import runtime_graph as G
 from chronolake.operators import windows as W
 from chronolake.streaming import batch as B
 
@@ -66,3 +68,37 @@ def test_chunks_come_in_small_batches(spark):
     df = spark.range(1000, numPartitions=1).select("id", F.lit("t").alias("t"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("some words of row "), F.col("id").cast("string"))).alias("x"))
     out = C.chunked(df, "id", "t", "x")
     assert "MapInArrow" in plan(out) and {r.id for r in out.collect()} >= {i for i in range(1000) if i % 3}
+
+
+def test_activity_parts_alone(spark, tmp_path):
+    entity = lambda *v: "named_struct('id', {}, 'name', {}, 'kind', {}, 'confidence', {})".format(*v)
+    item = "array(" + ", ".join([entity("'e'", "'Window'", "'file'", "0.1D"), entity("'f'", "'Note'", "'file'", "0.9D"), entity("'g'", "string(NULL)", "'x'", "0.1D"), entity("'h'", "'Tab'", "string(NULL)", "0.8D")]) + ")"
+    df = spark.sql(f"SELECT id, 'T' AS title, id * 10 AS us, id AS memory, IF(id = 1, NULL, 'A b') AS project, {item} AS entities, array(struct(' ' AS id, 'S 1' AS source_id, '' AS summary, 'told' AS snippet, 5L AS us)) AS evidence, array(' ', 'Oh no') AS errors, array('Do it') AS todos FROM range(2)")
+    nodes, edges = G.merged_graph(*G.activity_graph(df))
+    assert "transform(entities" not in str(edges._jdf.queryExecution().analyzed()) or "regexp_replace(regexp_replace(lower(trim(lambda" not in str(edges._jdf.queryExecution().analyzed())  # keys are made in rows, not in arrays
+    want = {("activity:0", t, k) for t, k in (("memory:0", "ResultedIn"), ("project:a:b", "BelongsTo"), ("f", "EditedFile"), ("h", "MentionedIn"), ("evidence:0:s:1", "InformedBy"), ("blocker:oh:no", "BlockedBy"), ("todo:do:it", "ResultedIn"))}
+    assert {tuple(r)[:3] for r in edges.where("source = 'activity:0'").collect()} == want
+    assert {(r.id, r.kind, r.label, r.n) for r in nodes.where("id not like 'activity%'").collect()} == {("project:a:b", "Project", "A b", 1), ("f", "File", "Note", 2), ("h", "Entity", "Tab", 2), ("evidence:0:s:1", "Entity", "told", 1), ("evidence:1:s:1", "Entity", "told", 1), ("blocker:oh:no", "Error", "Oh no", 2), ("todo:do:it", "Task", "Do it", 2)}
+    G.graph_sink(str(tmp_path), ("edges",))(df, 0)
+    assert [p.name for p in tmp_path.iterdir()] == ["edges"]
+    assert {tuple(r) for r in G.graph_now(spark, str(tmp_path), ("edges",))[0].collect()} == {tuple(r) for r in edges.collect()}
+
+
+def test_every_pair_under_a_key_is_met(spark):
+    random.seed(5)
+    rows = [(k, h, 100, 40, h % 3) for k in (1, 2) for h in random.sample(range(60), 40)]
+    df = spark.createDataFrame(rows, "k long, h long, len int, n long, label long")
+    texts = spark.range(60).select(F.col("id").alias("h"), F.lit("abc").alias("line")).select("h", "line", *[c.alias(n) for n, c in D.letter_counts().items()])
+    want = {(min(a, b), max(a, b)) for k, a, *_ in rows for j, b, *_ in rows if k == j and a % 3 != b % 3}
+    assert {tuple(r) for r in D.every_pair(df, texts, 0.9, block=7).collect()} == want
+
+
+def test_lines_that_lead_no_key_are_linked(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefghiknoprstuvw") for _ in range(7))
+    shared = [word() for _ in range(4)]  # a passage that many different lines hold
+    lines = [" ".join([*shared, *[word() for _ in range(9)]]) for _ in range(60)]
+    near = [x[:-1] + ("z" if x[-1] != "z" else "y") for x in lines]
+    docs = spark.createDataFrame(list(enumerate(lines + near)), "doc_id long, text string")
+    ids = {r.doc_id for r in D.dedup_lines(docs).where("n_removed > 0").collect()}
+    assert ids == set(range(60, 120))
