@@ -29,6 +29,7 @@ EDGE_SHARES = {"project_session": 0.78, "session_memory": 0.82, "belongs": 0.82,
 # Node kinds and edge types of an activity's entities, and names that are too general.
 ENTITY_KINDS = {"file": "File", "url": "Url", "error": "Error", "command": "Command", "decision": "Decision", "issue": "Issue", "concept": "Concept", "project": "Project"}
 ENTITY_EDGES = {"file": "EditedFile", "error": "BlockedBy", "command": "InformedBy", "decision": "ResultedIn"}
+PARTS = ("nodes", "edges")
 GENERAL, SURE, TITLE = ["ui", "window", "chrome", "browser", "tab", "page"], 0.70, 120
 
 
@@ -100,34 +101,36 @@ def activity_graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     todos. A too general entity of under 0.7 is left out; blank errors and todos are none.
     """
     me = F.concat(F.lit("activity:"), F.col("id").cast("string"))
-    node = lambda id, kind, label, us=F.col("us"): F.struct(id.alias("id"), kind.alias("kind"), label.alias("label"), us.alias("us"))
-    edge = lambda target, kind: F.struct(me.alias("source"), target.alias("target"), kind.alias("edge_type"), F.col("us").alias("us"))
-    mapped = lambda c, table, other: F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[c], F.lit(other))
-    project = F.concat(F.lit("project:"), X.alias_key(F.col("project")))
-    entities = F.filter("entities", lambda x: ~(X.alias_key(x["name"]).isin(GENERAL) & (x["confidence"] < SURE)))
-    proof = lambda x: F.when(F.trim(F.coalesce(x["id"], F.lit(""))) == "", F.concat(F.lit("evidence:"), F.col("id").cast("string"), F.lit(":"), X.alias_key(x["source_id"]))).otherwise(x["id"])
-    told = lambda x: X.trim_to(F.when(F.trim(F.coalesce(x["summary"], F.lit(""))) != "", x["summary"]).otherwise(x["snippet"]), TITLE)
-    filled = lambda c: F.filter(c, lambda x: F.trim(x) != "")
-    keyed = lambda kind: lambda x: F.concat(F.lit(f"{kind}:"), X.alias_key(x))
-    none = lambda kind: F.array().cast(f"array<struct<{kind}>>")
-    has = F.col("project").isNotNull()
-    nodes = F.concat(
-        F.array(node(me, F.lit("ActivityEvent"), F.col("title"))),
-        F.when(has, F.array(node(project, F.lit("Project"), F.col("project")))).otherwise(none("id:string,kind:string,label:string,us:bigint")),
-        F.transform(entities, lambda x: node(x["id"], mapped(x["kind"], ENTITY_KINDS, "Entity"), x["name"])),
-        F.transform("evidence", lambda x: node(proof(x), F.lit("Entity"), told(x), x["us"])),
-        F.transform(filled("errors"), lambda x: node(keyed("blocker")(x), F.lit("Error"), X.trim_to(x, TITLE))),
-        F.transform(filled("todos"), lambda x: node(keyed("todo")(x), F.lit("Task"), X.trim_to(x, TITLE))),
-    )
-    edges = F.concat(
-        F.array(edge(F.concat(F.lit("memory:"), F.col("memory").cast("string")), F.lit("ResultedIn"))),
-        F.when(has, F.array(edge(project, F.lit("BelongsTo")))).otherwise(none("source:string,target:string,edge_type:string,us:bigint")),
-        F.transform(entities, lambda x: edge(x["id"], mapped(x["kind"], ENTITY_EDGES, "MentionedIn"))),
-        F.transform("evidence", lambda x: edge(proof(x), F.lit("InformedBy"))),
-        F.transform(filled("errors"), lambda x: edge(keyed("blocker")(x), F.lit("BlockedBy"))),
-        F.transform(filled("todos"), lambda x: edge(keyed("todo")(x), F.lit("ResultedIn"))),
-    )
-    return events.select(F.explode(nodes).alias("n")).select("n.*"), events.select(F.explode(edges).alias("e")).select("e.*")
+
+    def item(part, a, b=None, kind=None, confidence=None, at=None):
+        """Fields as they are; rules and keys are worked out when each item stands in a row."""
+        values = (F.lit(part), a, b, kind, confidence, at)
+        return F.struct(*[(F.lit(None) if v is None else v).cast(t).alias(c) for v, t, c in zip(values, ("string", "string", "string", "string", "double", "long"), ("part", "a", "b", "kind", "confidence", "at"))])
+
+    def exploded(*more):
+        items = [
+            F.array(*more, item("project", F.col("project"))),
+            F.transform("entities", lambda x: item("entity", x["id"], x["name"], x["kind"], x["confidence"])),
+            F.transform("evidence", lambda x: item("evidence", x["id"], x["source_id"], F.when(F.trim(F.coalesce(x["summary"], F.lit(""))) != "", x["summary"]).otherwise(x["snippet"]), None, x["us"])),
+            F.transform("errors", lambda x: item("blocker", x)),
+            F.transform("todos", lambda x: item("todo", x)),
+        ]
+        rows = events.select("id", "title", "us", F.explode(F.concat(*items)).alias("x")).select("id", "title", "us", "x.*")
+        too_general = (F.col("confidence") < SURE) & X.alias_key(F.col("b")).isin(GENERAL)
+        return rows.where(F.when(part("entity"), ~too_general).when(part("blocker") | part("todo"), F.trim("a") != "").when(part("project"), F.col("a").isNotNull()).otherwise(True))
+
+    part = lambda name: F.col("part") == name
+    mapped = lambda table, other: F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col("kind")], F.lit(other))
+    proof = F.when(F.trim(F.coalesce("a", F.lit(""))) == "", F.concat(F.lit("evidence:"), F.col("id").cast("string"), F.lit(":"), X.alias_key(F.col("b")))).otherwise(F.col("a"))
+    keyed = F.concat("part", F.lit(":"), X.alias_key(F.col("a")))
+    own = F.when(part("self") | part("entity"), F.col("a")).when(part("evidence"), proof)
+    kind = F.when(part("self"), "ActivityEvent").when(part("project"), "Project").when(part("entity"), mapped(ENTITY_KINDS, "Entity")).when(part("evidence"), "Entity").when(part("blocker"), "Error").otherwise("Task")
+    label = F.when(part("self"), F.col("title")).when(part("project"), F.col("a")).when(part("entity"), F.col("b")).when(part("evidence"), X.trim_to(F.col("kind"), TITLE)).otherwise(X.trim_to(F.col("a"), TITLE))
+    nodes = exploded(item("self", me)).select(own.otherwise(keyed).alias("id"), kind.alias("kind"), label.alias("label"), F.when(part("evidence"), F.col("at")).otherwise(F.col("us")).alias("us"))
+    target = own.when(part("memory"), F.concat(F.lit("memory:"), "a")).otherwise(keyed)
+    edge = F.when(part("project"), "BelongsTo").when(part("entity"), mapped(ENTITY_EDGES, "MentionedIn")).when(part("evidence"), "InformedBy").when(part("blocker"), "BlockedBy").otherwise("ResultedIn")
+    edges = exploded(item("memory", F.col("memory"))).select(me.alias("source"), target.alias("target"), edge.alias("edge_type"), "us")
+    return nodes, edges
 
 
 def _nodes(df: DataFrame) -> DataFrame:
@@ -146,22 +149,24 @@ def merged_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return _nodes(nodes.withColumns(once)), _edges(edges.withColumns(once))
 
 
-def graph_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for activities: batch k's delta replaces nodes/batch=k and edges/batch=k."""
+def graph_sink(path: str, parts: tuple[str, ...] = PARTS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for activities: batch k's delta replaces nodes/batch=k and edges/batch=k; of ``parts`` alone, where only one of them is kept."""
 
     def write(batch: DataFrame, no: int) -> None:
-        for name, df in zip(("nodes", "edges"), merged_graph(*activity_graph(batch))):
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={no}")
+        for name, df in zip(PARTS, merged_graph(*activity_graph(batch))):
+            if name in parts:
+                df.write.mode("overwrite").parquet(f"{path}/{name}/batch={no}")
 
     return write
 
 
-def graph_now(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def graph_now(spark: SparkSession, path: str, parts: tuple[str, ...] = PARTS) -> tuple[DataFrame, ...]:
     """The graph out of all deltas."""
-    return _nodes(spark.read.parquet(f"{path}/nodes")), _edges(spark.read.parquet(f"{path}/edges"))
+    folds = dict(zip(PARTS, (_nodes, _edges)))
+    return tuple(folds[name](spark.read.parquet(f"{path}/{name}")) for name in parts)
 
 
-def compacted(spark: SparkSession, path: str, to: str) -> None:
+def compacted(spark: SparkSession, path: str, to: str, parts: tuple[str, ...] = PARTS) -> None:
     """Fold the deltas under ``path`` into one under ``to``; later batches go there under their own numbers."""
-    for name, df in zip(("nodes", "edges"), graph_now(spark, path)):
+    for name, df in zip(parts, graph_now(spark, path, parts)):
         df.write.mode("overwrite").parquet(f"{to}/{name}/batch=-1")
