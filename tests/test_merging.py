@@ -114,3 +114,21 @@ def test_history_folds_many_parts_in_one_job(spark, sf, tmp_path, monkeypatch):
     before = len(calls)
     H.merge_history(df, path, hour)
     assert len(calls) == before
+
+
+@pytest.mark.parametrize("by", ["vector", "words"])
+def test_targets_meet_in_blocks_as_in_pairs(spark, monkeypatch, by):
+    """Words and vectors go to blocks of rows, not to pairs; vectors of several lengths, negative and equal ones, rows without words, keys without value."""
+    r = random.Random(3)
+    words = lambda n: r.sample("one two three four five six".split(), r.randrange(n))
+    vector = lambda: r.choice([[1.0, 0.0], [0.0, 0.0], [-1.0, 0.5, 2.0], [r.uniform(-1, 1) for _ in range(3)]])
+    rows = [(i, r.randrange(30) * M.DAY // 10, r.choice(["a", "a", "b", None]), vector(), words(6), words(3), words(2), []) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, us long, app string, embedding array<double>, w_snippet array<string>, w_title array<string>, w_text array<string>, w_shadow array<string>")
+    cosine, share = M.V.cosine, lambda f, w: F.lit(w) * M.X.jaccard(F.col(f"a.w_{f}"), F.col(f"b.w_{f}"))
+    pairs = df.alias("a").join(df.alias("b"), F.expr(f"a.app = b.app AND (b.us < a.us OR b.us = a.us AND b.id < a.id) AND b.us > a.us - {M.DAY}"))
+    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("a.embedding"), F.col("b.embedding")))) if by == "vector" else F.lit(0.0)
+    pairs = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("o_id"), near.alias("vector"), sum((share(f, w) for f, w in M.WORD_SHARES.items()), F.lit(0.0)).alias("words"))
+    want = sorted(map(tuple, M._top(pairs, by, 4).collect()))
+    for block in ((1024, 4096), (3, 5)):
+        monkeypatch.setattr(M, "BLOCK", block)
+        assert sorted(map(tuple, M._near(df, spark.createDataFrame(df.rdd, df.schema), 1, ["app"], 4, by).collect())) == want and want
