@@ -248,8 +248,10 @@ def quality_issues(df: DataFrame, expected: Column) -> DataFrame:
     ``expected`` is the outcome that storage_outcome gives the row.
     """
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    context, embedded, start = debug_text(F.col("context")), debug_text(F.col("embedding_text")), F.substring(debug_text(F.col("text")), 1, RAW_START)
-    vague = (context == "") | (F.size(F.split(context, " ")) < LEAST_WORDS) | reduce(lambda a, b: a | b, [context.contains(v) for v in VAGUE])
+    once = lambda c, rule: F.transform(F.array(debug_text(F.col(c))), rule)[0]  # the text is made once for all that is asked of it
+    vague = once("context", lambda x: (x == "") | (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1 < LEAST_WORDS) | reduce(lambda a, b: a | b, [x.contains(v) for v in VAGUE]))
+    starts = lambda x: once("text", lambda t: (F.substring(t, 1, RAW_START) != "") & x.startswith(F.substring(t, 1, RAW_START)))
+    dominated = once("embedding_text", lambda x: F.when(F.length(x) > RAW_LENGTH, starts(x)).otherwise(False))
     flags = {
         "vague_memory_context": vague,
         "missing_intent": blank("intent"),
@@ -259,7 +261,7 @@ def quality_issues(df: DataFrame, expected: Column) -> DataFrame:
         "high_ocr_noise": F.col("noise") > MOST_NOISE,
         "primary_should_be_low_quality_evidence": (F.col("outcome") == "primary_memory_card") & (expected != "primary_memory_card"),
         "graph_events_with_weak_evidence": F.col("weak_graph") > 0,
-        "embedding_text_dominated_by_raw_ocr": (F.length(embedded) > RAW_LENGTH) & (start != "") & embedded.startswith(start),
+        "embedding_text_dominated_by_raw_ocr": dominated,
     }
     issues = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in flags.items()]))
     return df.withColumn("issues", issues).where(F.size("issues") > 0)

@@ -102,3 +102,11 @@ def test_lines_that_lead_no_key_are_linked(spark):
     docs = spark.createDataFrame(list(enumerate(lines + near)), "doc_id long, text string")
     ids = {r.doc_id for r in D.dedup_lines(docs).where("n_removed > 0").collect()}
     assert ids == set(range(60, 120))
+
+
+def test_issues_make_each_text_once(spark, sf):
+    from chronolake.plans import catalog
+
+    out = catalog.queries()["f27_quality_issues"](spark, sf)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9]+") <= 6  # three texts, each at most twice: in the filter and in the list
+    assert "Exchange hashpartitioning(p_partkey" in plan(out)  # all tasks share the rows of a file of one row group
