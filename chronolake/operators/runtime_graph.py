@@ -41,6 +41,11 @@ def _says_something(label: Column) -> Column:
     return F.length(_label(label)).between(*LABEL) & ~F.lower(_label(label)).isin(NO_LABELS)
 
 
+def _is_plain(label: Column) -> Column:
+    """``_says_something`` of what ``_label`` gave."""
+    return F.length(label).between(*LABEL) & ~F.lower(label).isin(NO_LABELS)
+
+
 def _node(kind: str, label: Column, base: Column, share: str) -> Column:
     of, least = NODE_SHARES[share]
     confidence = F.least(F.lit(1.0), F.greatest(base * of, F.lit(least)))
@@ -59,19 +64,21 @@ def memory_graph(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = df.withColumn("base", base).withColumn("me", F.concat(F.lit("Memory|"), F.col("id").cast("string")))
     b = F.col("base")
     known = lambda c: (F.trim(F.col(c)) != "") & (F.col(c) != "unknown")
-    one = lambda when, kind, label, share: F.when(F.coalesce(when & _says_something(label), F.lit(False)), F.array(_node(kind, label, b, share))).otherwise(F.array().cast("array<struct<id:string,kind:string,label:string,confidence:double>>"))
-    some = lambda c, most, kind, share, shape: F.transform(F.filter(F.transform(F.slice(F.coalesce(F.col(c), F.array().cast("array<string>")), 1, most), shape), _says_something), lambda x: _node(kind, x, b, share))
+    none = F.array().cast("array<string>")
+    nodes_of = lambda labels, kind, share, says: F.transform(F.filter(labels, says), lambda x: _node(kind, x, b, share))  # a label is made once
+    one = lambda when, kind, label, share, says=_is_plain: nodes_of(F.when(F.coalesce(when, F.lit(False)), F.array(label)).otherwise(none), kind, share, says)
+    some = lambda c, most, kind, share, shape: nodes_of(F.transform(F.slice(F.coalesce(F.col(c), none), 1, most), shape), kind, share, _is_plain)
     leaf = lambda p: _label(F.coalesce(F.nullif(F.regexp_extract(p, "([^/]+)/*$", 1), F.lit("")), p))
     url = F.substring(F.coalesce(F.get(F.split("url", "//"), F.lit(1)), F.col("url")), 1, LABEL[1])
     found = F.concat(
         one(known("project"), "Project", _label(F.col("project")), "project"),
         one(known("topic"), "Concept", _label(F.col("topic")), "topic"),
-        one(F.trim("url") != "", "Url", url, "url"),
+        one(F.trim("url") != "", "Url", url, "url", _says_something),
         some("files", 3, "File", "file", leaf),
         some("decisions", 2, "Decision", "decision", _label),
         some("errors", 2, "Error", "error", _label),
         some("tools", 2, "Tool", "tool", _label),
-        one(F.lit(True), "Session", F.concat(F.lit("session "), F.substring(F.coalesce("session", F.lit("")), 1, 12)), "session"),
+        one(F.lit(True), "Session", F.concat(F.lit("session "), F.substring(F.coalesce("session", F.lit("")), 1, 12)), "session", _says_something),
         *[one(F.lit(True), "Concept", _label(F.col(c)), c) for c in ("happened", "mattered", "changed")],
     )
     ids = lambda v: F.transform(v, lambda n: n["id"])

@@ -110,3 +110,13 @@ def test_issues_make_each_text_once(spark, sf):
     out = catalog.queries()["f27_quality_issues"](spark, sf)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9]+") <= 6  # three texts, each at most twice: in the filter and in the list
     assert "Exchange hashpartitioning(p_partkey" in plan(out)  # all tasks share the rows of a file of one row group
+
+
+def test_labels_of_records_are_made_once(spark, sf):
+    from chronolake.plans import graph_queries as Q
+
+    rows = Q.records(spark, sf)
+    assert "hashpartitioning(p_partkey" in rows._jdf.queryExecution().executedPlan().toString()  # all tasks share the rows of a file of one row group
+    odd = rows.limit(1).withColumns({"session": F.lit(" \t\t "), "topic": F.lit("a \t b  c"), "url": F.lit("x//\n \n \nab")})
+    got = {(r.kind, r.label) for r in G.memory_graph(odd)[0].collect()}
+    assert ("Concept", "a b c") in got and ("Session", "session  \t\t ") in got and all(k != "Url" or len(v.split()) == 1 for k, v in got)
