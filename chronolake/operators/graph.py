@@ -46,8 +46,8 @@ def edge_kind(edge_type):
 def adjacency(nodes: DataFrame, edges: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
     """(a, b, w) both ways round, for edges of enough confidence whose ends are alive."""
     e = both_ends(edges.where(F.col("confidence") >= least), nodes.select("id"))
-    one = e.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("confidence").alias("w"))
-    return one.union(one.select("b", "a", "w"))
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col("confidence").alias("w"))
+    return e.select(F.explode(F.array(way("source", "target"), way("target", "source"))).alias("e")).select("e.*")
 
 
 def bfs(adj: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -86,18 +86,30 @@ def shortest_path(adj: DataFrame, source, target, depth: int | None = None) -> D
 
 
 def pagerank(nodes: DataFrame, adj: DataFrame, rounds: int = 24, d: float = 0.85, cut_every: int = 6) -> DataFrame:
-    """r_i = (1-d)/n + d * sum_j w_ij r_j / W_i, with W_i the receiver's own weight sum."""
-    n = nodes.count()
-    weight = adj.groupBy("a").agg(F.sum("w").alias("total"))
-    links = cut(adj.join(weight, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")))
-    ids = nodes.select("id")
-    r = ids.withColumn("r", F.lit(1.0 / max(1, n)))
+    """r_i = (1-d)/n + d * sum_j w_ij r_j / W_i, with W_i the receiver's own weight sum.
+
+    Nodes whose only neighbour is the same one have the same rank, so the rounds carry
+    the least of them, with the sum of their shares; the others get its rank at the end.
+    """
+    n = max(1, nodes.count())
+    base, ids = (1 - d) / n, nodes.select("id")
+    pairs = cut(adj.groupBy("a", "b").agg(F.sum("w").alias("w")))
+    own = pairs.groupBy("a").agg(F.sum("w").alias("total"), F.count("*").alias("n"), F.min("b").alias("only"))
+    own = cut(own.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").withColumn("leaf", F.expr("n = 1 AND total > 0 AND total < double('inf')")).fillna(False, "leaf"))
+    leaf = own.where("leaf").select(F.col("a").alias("id"), "only")
+    twins = leaf.groupBy("only").agg(F.min("id").alias("twin"))
+    names = cut(ids.join(leaf.join(twins, "only").select("id", "twin"), "id", "left").select("id", F.coalesce("twin", "id").alias("twin")))
+    live = names.where("id = twin").select("id")
+    links = pairs.join(own.where("not leaf").select("a", "total"), "a").select("a", "b", (F.col("w") / F.col("total")).alias("share"))
+    links = links.union(twins.select("twin", "only", F.lit(1.0))).join(names.withColumnRenamed("id", "b"), "b")
+    links = cut(links.groupBy("a", F.col("twin").alias("b")).agg(F.sum("share").alias("share")))
+    r = live.withColumn("r", F.lit(1.0 / n))
     for k in range(rounds):
-        got = links.join(r.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum(F.col("share") * F.col("r")).alias("in"))
-        r = ids.join(got, "id", "left").select("id", (F.lit((1 - d) / max(1, n)) + F.lit(d) * F.coalesce("in", F.lit(0.0))).alias("r"))
+        got = links.join(r.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), (F.col("share") * F.col("r")).alias("in"))
+        r = got.union(live.select("id", F.lit(0.0))).groupBy("id").agg((F.lit(base) + F.lit(d) * F.sum("in")).alias("r"))
         if (k + 1) % cut_every == 0:
             r = cut(r)
-    return r
+    return names.join(r.withColumnRenamed("id", "twin"), "twin", "left").select("id", F.coalesce("r", F.lit(base if rounds else 1.0 / n)).alias("r"))
 
 
 def components(nodes: DataFrame, adj: DataFrame, rounds: int = 50) -> DataFrame:

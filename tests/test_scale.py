@@ -9,6 +9,7 @@ from chronolake.functions import lines as L
 from chronolake.functions import text as X
 from chronolake.llm import line_dedup as D
 from chronolake.operators import chunking as C
+from chronolake.operators import graph
 from chronolake.operators import retrieval as R
 from chronolake.operators import runtime_graph as G
 from chronolake.operators import windows as W
@@ -120,3 +121,27 @@ def test_labels_of_records_are_made_once(spark, sf):
     odd = rows.limit(1).withColumns({"session": F.lit(" \t\t "), "topic": F.lit("a \t b  c"), "url": F.lit("x//\n \n \nab")})
     got = {(r.kind, r.label) for r in G.memory_graph(odd)[0].collect()}
     assert ("Concept", "a b c") in got and ("Session", "session  \t\t ") in got and all(k != "Url" or len(v.split()) == 1 for k, v in got)
+
+
+def test_pagerank_carries_one_of_equal_leaves(spark, monkeypatch):
+    random.seed(2)
+    nodes = spark.range(60).union(spark.range(1000, 1300))
+    ends = [(random.randrange(40), random.randrange(40), random.choice([0.5, 1.0])) for _ in range(120)] + [(x, random.randrange(12), 0.9) for x in range(1000, 1300)] + [(50, 51, 0.4), (7, 7, 0.3), (1, 99, 0.8), (98, 2, 0.7)]
+    links = ends + [(b, a, w) for a, b, w in ends]
+    adj, ids = spark.createDataFrame(links, "a long, b long, w double"), [r.id for r in nodes.collect()]
+    adj = adj.withColumn("w", F.when((F.col("a") == 3) & (F.col("b") > 20), F.lit(None)).otherwise(F.col("w")))
+    rows = [tuple(r) for r in adj.collect()]
+    total, r = {}, dict.fromkeys(ids, 1 / 360)
+    for a, _, w in rows:
+        total[a] = total.get(a, 0) + (w or 0)
+    for _ in range(7):
+        got = dict.fromkeys(ids, 0.15 / 360)
+        for a, b, w in rows:
+            if a in r and b in r and w:
+                got[a] += 0.85 * w / total[a] * r[b]
+        r = got
+    sizes, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (lambda out: sizes.append((out.columns, out.count())) or out)(cut(df)))
+    out = {x.id: x.r for x in graph.pagerank(nodes, adj, rounds=7).collect()}
+    assert out.keys() == r.keys() and max(abs(out[i] - r[i]) for i in r) < 1e-12
+    assert max(n for c, n in sizes if c == ["id", "r"]) <= 60 + 12  # a round carries one leaf of each neighbour
