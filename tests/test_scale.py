@@ -145,3 +145,23 @@ def test_pagerank_carries_one_of_equal_leaves(spark, monkeypatch):
     out = {x.id: x.r for x in graph.pagerank(nodes, adj, rounds=7).collect()}
     assert out.keys() == r.keys() and max(abs(out[i] - r[i]) for i in r) < 1e-12
     assert max(n for c, n in sizes if c == ["id", "r"]) <= 60 + 12  # a round carries one leaf of each neighbour
+
+
+def test_pairs_under_a_key_meet_by_length(spark):
+    random.seed(4)
+    lines = ["".join(random.choice("aeiou nrtsx") for _ in range(random.randrange(10, 90))) for _ in range(150)] + ["a" * 3000, "a" * 3100 + "e" * 40]
+    df = spark.createDataFrame([(7, h, len(x), 152, h % 5) for h, x in enumerate(lines)] + [(8, h, 20, 3, 1) for h in range(3)], "k long, h long, len int, n long, label long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string").select("h", "line", F.length("line").alias("len"), *[c.alias(n) for n, c in D.letter_counts().items()])
+    most = D.MOST_LETTERS
+
+    def apart(x, y):
+        d = [min(x.count(c), most) - min(y.count(c), most) for c in D.LETTERS]
+        return max(sum(v for v in d if v > 0), -sum(v for v in d if v < 0))
+
+    want = {(a, b) for b, y in enumerate(lines) for a, x in enumerate(lines[:b]) if a % 5 != b % 5 and abs(len(x) - len(y)) <= (far := int(0.1 * max(len(x), len(y)) + 1e-9)) and apart(x, y) <= far}
+    out = D.every_pair(df, texts, 0.9, block=20)
+    assert {tuple(r) for r in out.collect()} == want and (150, 151) in want and len(want) > 10
+    assert out.count() == len(want)  # each pair under a key once
+    assert "[k#" in plan(out) and "part#" in next(x for x in plan(out).splitlines() if "Join" in x and "part#" in x)  # lines far apart in length do not meet
+    got = {tuple(r) for r in D.verified(out, texts, 0.9).collect()}
+    assert got == {(r.a, r.b) for r in out.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").where("levenshtein(x, y) <= floor(0.1 * greatest(length(x), length(y)) + 1e-9)").collect()}
