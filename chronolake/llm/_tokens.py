@@ -158,3 +158,8 @@ def encoder(path: str) -> Encoder:
     if path not in _KEPT:
         _KEPT[path] = Encoder(path)
     return _KEPT[path]
+
+
+def forget() -> None:
+    """Free this worker's encoders: workers outlive a stage, and the tables of one stage need not lie beside the work of another."""
+    _KEPT.clear()

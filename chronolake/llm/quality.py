@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import _text as T
+from . import _tokens
 
 BITS, TRAIN_ROWS, EPOCHS, THRESHOLD = 18, 6000, 4, 0.7
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
+CHUNK = 1 << 18  # bytes of text that are scored at once; they take some 50 times as much
 _GAIN = 4.0  # features are shares of the words; this keeps steps of a useful size
 
 _KIND = np.full(256, 4, np.uint8)  # 0 digit, 1 upper, 2 lower, 3 beyond ASCII, else 4 and the character itself
@@ -55,12 +57,12 @@ def fit(col, label: np.ndarray) -> np.ndarray:
     for i in range(len(off) - 1):
         f, _ = features(data[off[i] : off[i + 1]], off[i : i + 2] - off[i])
         idx, count = np.unique(f, return_counts=True)
-        xs.append((np.append(idx, n), np.append(_GAIN * count / max(1, f.shape[1]), 1.0)))
+        xs.append((idx.astype(np.int32), count.astype(np.int32), max(1, f.shape[1])))
     z, g2 = np.zeros(n + 1), np.zeros(n + 1)
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for i in order.permutation(len(xs)):
-            idx, x = xs[i]
+            idx, x = np.append(xs[i][0], n), np.append(_GAIN * xs[i][1] / xs[i][2], 1.0)
             zi, ni = z[idx], g2[idx]
             w = np.where(np.abs(zi) > L1, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2), 0.0)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
@@ -86,6 +88,7 @@ def score(weights: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _fit(table: pa.Table) -> pa.Table:
+    _tokens.forget()
     table = table.take(pa.compute.sort_indices(table, [("turn", "ascending"), ("doc_id", "ascending")]))
     w = fit(table.column("text"), table.column("quality").to_numpy().astype(float))
     return pa.table({"weights": pa.array([w.tobytes()], pa.binary())})
@@ -122,9 +125,10 @@ def _score(weights):
     w = weights.astype(np.float32)
 
     def f(batches):
+        _tokens.forget()
         for b in batches:
             data, off = T.buffers(b.column("text"))
-            s = [score(w, data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in T.chunks(off)]
+            s = [score(w, data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in T.chunks(off, CHUNK)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(s) if s else np.zeros(0))], ["doc_id", "score"])
 
     return f
@@ -144,9 +148,10 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD
     at = docs.columns.index("text")
 
     def f(batches):
+        _tokens.forget()
         for b in batches:
             data, off = T.buffers(b.column(at))
-            s = [score(w, data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in T.chunks(off)]
+            s = [score(w, data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in T.chunks(off, CHUNK)]
             yield b.filter(pa.array(np.concatenate(s) >= threshold if s else np.zeros(0, bool)))
 
     return docs.mapInArrow(f, docs.schema)

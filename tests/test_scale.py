@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chronolake.functions import lines as L
@@ -165,3 +166,24 @@ def test_pairs_under_a_key_meet_by_length(spark):
     assert "[k#" in plan(out) and "part#" in next(x for x in plan(out).splitlines() if "Join" in x and "part#" in x)  # lines far apart in length do not meet
     got = {tuple(r) for r in D.verified(out, texts, 0.9).collect()}
     assert got == {(r.a, r.b) for r in out.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").where("levenshtein(x, y) <= floor(0.1 * greatest(length(x), length(y)) + 1e-9)").collect()}
+
+
+def test_classifier_needs_little_memory_beside_others():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from chronolake.llm import _tokens, quality
+
+    random.seed(1)
+    texts = [" ".join(random.choice("abcdefgh") * random.randrange(1, 9) for _ in range(300)) for _ in range(3000)]
+    table = pa.table({"doc_id": pa.array(range(3000)), "text": texts, "quality": pa.array([i % 2 for i in range(3000)]), "turn": pa.array(range(3000))})
+    peaks = []
+    for work in (lambda: quality._fit(table), lambda: list(quality._score(np.zeros((1 << quality.BITS) + 1))(iter(table.select(["doc_id", "text"]).to_batches())))):
+        _tokens._KEPT["x"] = "an encoder of a stage before"
+        tracemalloc.start()
+        work()
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        assert not _tokens._KEPT
+    assert peaks[0] < 32 and peaks[1] < 18, peaks
