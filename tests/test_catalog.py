@@ -74,6 +74,13 @@ def test_concentration_without_spans_is_the_sqls(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "t12_concentration")
 
 
+def test_concentration_is_of_all_spans(spark, tmp_path):
+    duckdb.execute(f"COPY (SELECT * FROM (SELECT 5 AS doc_id, string_agg('We met at place ' || i || ' today.', ' ' ORDER BY i) || ' Therefore We Decided Shipping Must Review Fix Next.' AS text FROM range(150) r(i))) TO '{tmp_path}/documents.parquet'")
+    assert same_as_sql(spark, tmp_path, "t12_concentration")
+    share = catalog.queries()["t12_concentration"](spark, str(tmp_path)).first().concentration
+    assert 0.02 < share < 0.035  # three of some 150 spans; of the first 64 it was over 0.045
+
+
 def test_difference_takes_every_order(spark, tmp_path):
     duckdb.execute(f"COPY (SELECT i AS c_custkey FROM range(9) r(i)) TO '{tmp_path}/customer.parquet'")
     duckdb.execute(f"COPY (SELECT i + 1 AS o_orderkey, i AS o_custkey FROM range(5) r(i)) TO '{tmp_path}/orders.parquet'")
