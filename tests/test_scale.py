@@ -95,6 +95,33 @@ def test_every_pair_under_a_key_is_met(spark):
     assert {tuple(r) for r in D.every_pair(df, texts, 0.9, block=7).collect()} == want
 
 
+def test_grams_rule_out_other_words_of_the_same_letters(spark):
+    random.seed(7)
+    word = lambda: "".join(random.choice("abcdefghiklmnoprstu") for _ in range(random.randrange(2, 9)))
+
+    def edited(x, n):
+        for _ in range(n):
+            at, how = random.randrange(len(x)), random.randrange(3)
+            x = x[:at] + ("" if how == 0 else random.choice("xyz")) + x[at + (how < 2) :]
+        return x
+
+    lines, near, other = [" ".join(word() for _ in range(n)) for n in (1, 2, 5, 20, 40, 60, 110)], [], []
+    for x in [*lines, "abc", "ab", "éñ ß漢字 " * 9]:
+        for _ in range(20):
+            y = edited(x, int(len(x) * 0.1 + 1e-9))
+            near.append((x, y))
+        other.append((x, "".join(random.sample(x, len(x)))))
+    texts = list(dict.fromkeys(t for pair in [*near, *other] for t in pair))
+    docs = spark.createDataFrame(list(enumerate(texts)), "h long, line string").withColumn("len", F.length("line"))
+    table = docs.select("h", "line", "len", *[c.alias(n) for n, c in D.letter_counts().items()])
+    pairs = [(k, t) for k, pair in enumerate([*near, *other]) for t in pair]
+    rows = spark.createDataFrame([(k, texts.index(t), len(t), 2, texts.index(t)) for k, t in pairs], "k long, h long, len int, n long, label long")
+    met = {tuple(sorted((texts[r.a], texts[r.b]))) for r in D.every_pair(rows, table, 0.9).collect()}
+    want = {tuple(sorted(p)) for p in near if p[0] != p[1]}
+    assert want <= met and len(want) > 100
+    assert not met & {tuple(sorted(p)) for p in other if 20 < len(p[0]) <= D.GRAM_CHARS}  # these were compared as texts
+
+
 def test_lines_that_lead_no_key_are_linked(spark):
     random.seed(11)
     word = lambda: "".join(random.choice("abcdefghiknoprstuvw") for _ in range(7))
