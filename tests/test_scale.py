@@ -11,6 +11,7 @@ from chronolake.functions import text as X
 from chronolake.llm import line_dedup as D
 from chronolake.operators import chunking as C
 from chronolake.operators import graph
+from chronolake.operators import joins as J
 from chronolake.operators import retrieval as R
 from chronolake.operators import runtime_graph as G
 from chronolake.operators import windows as W
@@ -214,3 +215,14 @@ def test_classifier_needs_little_memory_beside_others():
         tracemalloc.stop()
         assert not _tokens._KEPT
     assert peaks[0] < 32 and peaks[1] < 18, peaks
+
+
+def test_contradictions_meet_in_small_blocks(spark):
+    rows = [(i if i else None, "p", i % 3 == 0) for i in range(1500)] + [(5000, None, True), (5001, "q", True), (5002, "q", None)]
+    df = spark.createDataFrame(rows, "id long, project string, neg boolean")
+    blocks = J._blocks(df.where("project = 'p'"), ["project"])
+    assert dict(blocks.dtypes)["ids"] == "array<bigint>" and blocks.agg(F.max(F.size("ids"))).first()[0] < 400  # all pairs of two blocks are in memory at once
+    assert blocks.select(F.explode("ids").alias("i")).agg(F.count("*"), F.count("i")).first()[:] == (1500, 1499)
+    got = J.contradictions(df, F.col("neg")).collect()
+    least = lambda a, b: (a if b is None else b if a is None else min(a, b), b if a is None else a if b is None else max(a, b))
+    assert sorted((r.a, r.b) for r in got) == sorted(least(a[0], b[0]) for a in rows[:1500] if a[2] for b in rows[:1500] if not b[2])
