@@ -226,3 +226,14 @@ def test_contradictions_meet_in_small_blocks(spark):
     got = J.contradictions(df, F.col("neg")).collect()
     least = lambda a, b: (a if b is None else b if a is None else min(a, b), b if a is None else a if b is None else max(a, b))
     assert sorted((r.a, r.b) for r in got) == sorted(least(a[0], b[0]) for a in rows[:1500] if a[2] for b in rows[:1500] if not b[2])
+
+
+def test_related_blocks_are_sent_a_few_times(spark):
+    side = lambda c, n: spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias(f"{c}_block"), F.lit(0).alias(f"{c}_name"))
+    met = J._paired(side("x", 40), side("y", 30), "k", 8, side=3)
+    assert met.count() == 1200 and met.select("x_block", "y_block").distinct().count() == 1200
+    assert {tuple(r) for r in met.groupBy("x_block").agg(F.countDistinct("down", "across")).select("count(DISTINCT down, across)").distinct().collect()} <= {(1,), (2,), (3,)}  # was 16 tasks for each block of y
+    pages = spark.createDataFrame([(i, f"t{i % 2}", [f"e{i % 5}", f"e{i % 3}", None]) for i in range(700)], "id long, topic string, entities array<string>")
+    rows = [(r.id, r.topic, {*r.entities} - {None}) for r in pages.collect()]
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] & b[2])
+    assert sorted(map(tuple, J.related(pages).collect())) == want
