@@ -132,3 +132,15 @@ def test_targets_meet_in_blocks_as_in_pairs(spark, monkeypatch, by):
     for block in ((1024, 4096), (3, 5)):
         monkeypatch.setattr(M, "BLOCK", block)
         assert sorted(map(tuple, M._near(df, spark.createDataFrame(df.rdd, df.schema), 1, ["app"], 4, by).collect())) == want and want
+
+
+def test_history_writes_a_record_where_it_changes(spark, sf, tmp_path):
+    path = f"file://{tmp_path}/history"
+    df = Q.stored(spark, sf).where("id < 300")
+    H.merge_history(df, path, M.DAY // 8, stop_after=5)
+    got = {r.id: (r.target, r.by) for r in H.merge_history(df, path, M.DAY // 8).collect()}
+    assert got == folded([r.asDict() for r in H.prepared(df, M.DAY // 8).collect()])
+    told = spark.read.parquet(f"{path}/parts")
+    assert told.where("kind = 'record'").count() <= 300 and told.where("kind = 'record'").groupBy("id", "part").count().where("count > 1").isEmpty()  # every part wrote all newest records
+    assert told.where("kind = 'place' and record.w_text is not null").isEmpty() and told.where("kind = 'place'").count() > 300
+    assert not list((tmp_path / "history").glob("rows-*"))  # each run left its rows
